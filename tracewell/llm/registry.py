@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import exact_dedup, mixing
+from tracewell.llm import exact_dedup, mixing, ngram_join, quality, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -14,12 +14,27 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    """Quality of each document by weighted rules over its statistics."""
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_ngram_join(spark, sf_dir):
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op8_exact_dedup(spark, sf_dir):
     """The document that stays for each document."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op8_exact_dedup)}
+def op9_toxicity(spark, sf_dir):
+    """Toxicity of each document by its best segment of token log-odds."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_ngram_join, op8_exact_dedup, op9_toxicity)}
 
 _MIX = r"""
 with sized as (

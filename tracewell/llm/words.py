@@ -15,6 +15,7 @@ SEGMENT = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_APART = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -73,9 +74,9 @@ def segments(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         pos = end
 
 
-def spans(buf: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and past-last byte of each word in ``buf[lo:hi]``, from ``lo``, and its text's number."""
-    ink = ~_SPACE[buf[lo:hi]]
+def spans(buf: np.ndarray, at: np.ndarray, lo: int, hi: int, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and past-last byte of each word in ``buf[lo:hi]``, from ``lo``, and its text's number; ``apart`` tells which bytes part words."""
+    ink = ~apart[buf[lo:hi]]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
@@ -104,6 +105,26 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+def letter_hashes(texts: pa.Array, prefixes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``word_hashes``, of runs of ASCII letters, digits and bytes above 127; besides whole words, their first so many bytes."""
+    buf, at = raw(texts)
+    hashes: list[list[np.ndarray]] = [[] for _ in range(len(prefixes) + 1)]
+    owners = []
+    for lo, hi in segments(buf, at):
+        starts, ends, owner = spans(buf, at, lo, hi, _APART)
+        up, down = _powers_of(hi - lo)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_LOWER[buf[lo:hi]].astype(np.uint64) * up[: hi - lo], out=sums[1:])
+        for level, n in enumerate((*prefixes, None)):
+            stop = ends if n is None else np.minimum(ends, starts + n)
+            h = (sums[stop] - sums[starts]) * down[starts]
+            hashes[level].append(mix(h ^ np.uint64(0x5851F42D4C957F2D >> level)))
+        owners.append(owner.astype(np.int64))
+    if not owners:
+        return [np.zeros(0, np.uint64)] * (len(prefixes) + 1), np.zeros(0, np.int64)
+    return [np.concatenate(h) for h in hashes], np.concatenate(owners)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 * SEGMENT) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each."""
     _, at = raw(batch.column(batch.schema.get_field_index(column)))
