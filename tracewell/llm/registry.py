@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import exact_dedup, mixing, ngram_join, quality, toxicity
+from tracewell.llm import exact_dedup, line_dedup, mixing, ngram_join, quality, sentencepiece, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -24,6 +24,11 @@ def op4_ngram_join(spark, sf_dir):
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op5_sentencepiece(spark, sf_dir):
+    """Token ids of each document, and whether decoding restores its text."""
+    return sentencepiece.encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     """The document that stays for each document."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -34,7 +39,12 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_ngram_join, op8_exact_dedup, op9_toxicity)}
+def op10_line_dedup(spark, sf_dir):
+    """Each document without later copies of repeated runs of lines with 50 words or more."""
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_ngram_join, op5_sentencepiece, op8_exact_dedup, op9_toxicity, op10_line_dedup)}
 
 _MIX = r"""
 with sized as (
