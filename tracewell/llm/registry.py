@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import exact_dedup, line_dedup, mixing, ngram_join, quality, sentencepiece, toxicity
+from tracewell.llm import exact_dedup, line_dedup, mixing, ngram_join, quality, sentencepiece, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -14,6 +14,11 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    """Each page as its WARC record reads after a round trip through archives."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark, sf_dir):
     """Quality of each document by weighted rules over its statistics."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -29,6 +34,11 @@ def op5_sentencepiece(spark, sf_dir):
     return sentencepiece.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark, sf_dir):
+    """The verdict on each page's url."""
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     """The document that stays for each document."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -44,7 +54,7 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_ngram_join, op5_sentencepiece, op8_exact_dedup, op9_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_ngram_join, op5_sentencepiece, op6_url_filter, op8_exact_dedup, op9_toxicity, op10_line_dedup)}
 
 _MIX = r"""
 with sized as (
