@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm import bloom
 from tracewell.llm.words import mix, pieces, shingles
 from tracewell.operators.components import connected_components
 from tracewell.storage import discard, join_checked, join_groups, materialize
@@ -45,19 +44,20 @@ def _sets(batches, k: int):
 
 
 def _rows(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, cid`` per document, and ``bucket, hits`` rows of each task."""
+    """``doc_id, uid, n, cid`` per document, and ``bucket, hits`` rows of each task."""
+    names = ["doc_id", "uid", "n", "cid", "bucket", "hits"]
 
     def run(batches):
         hits = np.zeros(BUCKETS, np.int64)
         for part, sh, at, cid in _sets(batches, k):
             hits += np.bincount((sh & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             none = pa.nulls(len(cid), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(cid), none, none], names=["doc_id", "n", "cid", "bucket", "hits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), pa.array(cid), none, none], names=names)
         at = np.flatnonzero(hits)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(hits[at])], names=["doc_id", "n", "cid", "bucket", "hits"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(hits[at])], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, bucket long, hits long")
+    return docs.mapInArrow(run, "doc_id long, uid long, n long, cid long, bucket long, hits long")
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
@@ -142,43 +142,6 @@ def _tail(batches) -> Iterator:
     yield None
 
 
-def _whole_sets(docs: DataFrame, k: int, needed: np.ndarray) -> DataFrame:
-    """``cid, sh`` (the sorted set, as bytes) of each class that the filter may hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(needed)
-
-    def run(batches):
-        seen: set[int] = set()
-        for _, sh, at, cid in _sets(batches, k):
-            found = np.flatnonzero(bloom.contains(shared.value, cid) & (np.diff(at) > 0)).tolist()
-            found = [i for i in found if cid[i] not in seen and not seen.add(cid[i])]
-            yield pa.RecordBatch.from_arrays([pa.array(cid[found]), pa.array([sh[at[i] : at[i + 1]].tobytes() for i in found], pa.binary())], names=["cid", "sh"])
-
-    return docs.mapInArrow(run, "cid long, sh binary").groupBy("cid").agg(F.first("sh").alias("sh"))
-
-
-def _pair_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose accumulated overlap meets the bound."""
-    both = pairs.join(sets.withColumnsRenamed({"cid": "b", "sh": "sb"}), "b").join(sets.withColumnsRenamed({"cid": "a", "sh": "sa"}), "a")
-
-    def run(batches):
-        for batch in batches:
-            sa, sb = batch.column(2), batch.column(3)
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (sa, sb))
-                least, most = sorted((len(x), len(y)))
-                if least * den < most * num:
-                    continue
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                inter = int((z[1:] == z[:-1]).sum())
-                if inter * den >= num * (len(z) - inter):
-                    ok.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), batch.column(1).take(pa.array(ok, pa.int64()))], names=["src", "dst"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "src long, dst long")
-
-
 def overlaps(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Product of two blocks of the sparse matrix: how many shingles each row shares with each of the others."""
     every = np.concatenate([*rows, *others])
@@ -217,20 +180,34 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def _block_links(members: DataFrame, sets: DataFrame, num: int, den: int, by: list[str]) -> DataFrame:
-    """Edges of a spanning forest of each block's links; rows with ``side`` 0 meet those with side 1, or all meet all where none has side 1."""
-    full = members.select(*by, "side", "cid").join(sets, "cid").select(*by, "side", "cid", "sh")
-    full = full.repartition(*by).sortWithinPartitions(*by)
-    k = len(by)
+def _block_links(text: DataFrame, reps: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges of a spanning forest of the links in each block.
+
+    ``members``: ``task, side, cid``; members of a task with side 0 meet those with side 1, or, where none has
+    side 1, all meet all.  Sets are made anew from the text of one document of each class.
+    """
+    of = members.join(reps, "cid").groupBy("uid", "cid").agg(F.collect_set(F.struct("task", "side")).alias("tasks"))
+    picked = join_checked(text.select("uid", "text"), materialize(of), "uid").select("cid", "tasks", "text")
+
+    def sets(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                sh, at = shingles(part.column(2), k)
+                rows = [sh[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["cid", "tasks", "sh"])
+
+    full = picked.mapInArrow(sets, "cid long, tasks array<struct<task:long,side:int>>, sh binary")
+    full = full.select("cid", F.explode("tasks").alias("t"), "sh").select("t.task", "t.side", "cid", "sh").repartition("task").sortWithinPartitions("task", "side", "cid")
 
-    def links(cid, side, sh):
+    def links(rows):
+        side, cid = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
         left = side == 0
         right = ~left if (~left).any() else left
         if not left.any():
             return cid[:0], cid[:0]
-        rows, others = ([s for s, ok in zip(sh, m, strict=True) if ok] for m in (left, right))
-        n, m = np.array([len(r) for r in rows])[:, None], np.array([len(r) for r in others])[None]
-        inter = overlaps(rows, others).astype(np.int64)
+        mine, others = ([r[2] for r, ok in zip(rows, m, strict=True) if ok] for m in (left, right))
+        n, m = np.array([len(r) for r in mine])[:, None], np.array([len(r) for r in others])[None]
+        inter = overlaps(mine, others).astype(np.int64)
         i, j = np.nonzero(inter * den >= num * (n + m - inter))
         a, b = cid[left][i], cid[right][j]
         a, b = a[a != b], b[a != b]
@@ -240,40 +217,49 @@ def _block_links(members: DataFrame, sets: DataFrame, num: int, den: int, by: li
     def run(batches):
         held, rows = None, []
         for batch in _tail(batches):
-            got = [] if batch is None else [c.to_pylist() for c in batch.columns[: k + 2]]
-            for i in range(0 if batch is None else batch.num_rows):
-                group = tuple(c[i] for c in got[:k])
-                if group != held and rows:
-                    yield _edges(*links(*_arrays(rows)))
+            if batch is None:
+                break
+            task, side, cid = (batch.column(i).to_pylist() for i in range(3))
+            for i in range(batch.num_rows):
+                if task[i] != held and rows:
+                    yield _edges(*links(rows))
                     rows = []
-                held = group
-                rows.append((got[k + 1][i], got[k][i], np.frombuffer(batch.column(k + 2)[i].as_buffer(), np.uint64)))
+                held = task[i]
+                if not rows or rows[-1][:2] != (side[i], cid[i]):
+                    rows.append((side[i], cid[i], np.frombuffer(batch.column(3)[i].as_py(), np.uint64)))
         if rows:
-            yield _edges(*links(*_arrays(rows)))
+            yield _edges(*links(rows))
 
     return full.mapInArrow(run, "src long, dst long")
 
 
-def _arrays(rows):
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), [r[2] for r in rows]
-
-
 def _edges(a, b):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
 
-def _rest_links(hot: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that reach over the blocks of a shingle, from the classes outside its largest component."""
+def _pair_tasks(pairs: DataFrame) -> DataFrame:
+    """Blocks for the candidate pairs: a component of their graph is one block, or, where it has many classes, one for each two of its chunks that a pair joins."""
+    labels = materialize(connected_components(pairs, "a", "b"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    held = pairs.join(labels.withColumnRenamed("node", "a"), "a").join(sizes, "component")
+    chunks = F.ceil(F.col("size") / BLOCK)
+    x, y = (F.pmod(F.xxhash64(F.col(c), F.lit(3)), chunks) for c in "ab")
+    task = F.xxhash64("component", F.least(x, y), F.greatest(x, y))
+    return held.select(task.alias("task"), F.lit(0).alias("side"), F.explode(F.array("a", "b")).alias("cid")).distinct()
+
+
+def _rest_tasks(hot: DataFrame, links: DataFrame) -> DataFrame:
+    """Blocks of a shingle over more than one block: classes outside its largest component against every block."""
     wide = hot.groupBy("key").agg((F.max("block") + 1).alias("blocks")).filter("blocks > 1")
     labels = connected_components(links)
-    named = materialize(hot.join(wide, "key").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).select("key", "cid", "block", "blocks", "label"))
+    named = materialize(hot.join(wide, "key").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "block", "blocks", F.coalesce("component", "cid").alias("label")))
     most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    outside = named.join(most, "key").filter("label <> main").withColumn("part", F.floor(F.row_number().over(_by_key()) / BLOCK))
+    outside = named.join(most, "key").filter("label <> main").withColumn("part", F.floor((F.row_number().over(_by_key()) - 1) / BLOCK))
     outside = materialize(outside.select("key", "cid", "part", "blocks"))
     parts = outside.groupBy("key").agg((F.max("part") + 1).alias("parts"))
     left = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", "part", "block", F.lit(0).alias("side"), "cid")
     right = named.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", "part", "block", F.lit(1).alias("side"), "cid")
-    return _block_links(left.unionByName(right), sets, num, den, ["key", "part", "block"])
+    return left.unionByName(right).select(F.xxhash64("key", "part", "block", F.lit("rest")).alias("task"), "side", "cid")
 
 
 def _by_key():
@@ -292,7 +278,7 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     smallest while another is there.  Sets are compared by 64-bit hashes of their shingles.
     An empty table gives no rows; other columns are ignored.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text")).select("doc_id", "uid", "text")
     rows = materialize(_rows(text, words))
     every = rows.filter("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "cid")
     hits = np.zeros(BUCKETS, np.int64)
@@ -302,24 +288,23 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     rank[np.argsort(hits, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
     postings = _prefixes(text, words, num, den, rank).repartition("key").sortWithinPartitions("key", "n", "cid")
     found = materialize(_candidates(postings, num, den))
-    links = _links(text, found, words, num, den)
+    links = _links(text, rows, found, words, num, den)
     return _assign(every, links)
 
 
-def _links(text: DataFrame, found: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _links(text: DataFrame, rows: DataFrame, found: DataFrame, words: int, num: int, den: int) -> DataFrame:
     pairs = materialize(found.filter("kind = 0").select("a", "b").distinct())
     hot = materialize(found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"), "block"))
-    few, many = pairs.count(), hot.count()
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(hot.select("cid")).distinct()
-    needed = bloom.build(named, "cid", bloom.size_for(2 * few + many))
-    sets = materialize(_whole_sets(text, words, needed))
-    links = _pair_links(pairs, sets, num, den)
+    reps = rows.filter("n > 0").groupBy("cid").agg(F.min("uid").alias("uid"))
+    tasks = _pair_tasks(pairs)
+    many = hot.count()
+    if many:
+        tasks = tasks.unionByName(hot.select(F.xxhash64("key", "block", F.lit("hot")).alias("task"), F.lit(0).alias("side"), "cid"))
+    links = materialize(_block_links(text, reps, tasks, words, num, den).distinct())
     if many:
-        diagonal = _block_links(hot.withColumn("side", F.lit(0)), sets, num, den, ["key", "block"])
-        links = materialize(links.unionByName(diagonal).distinct())
-        links = links.unionByName(_rest_links(hot, links, sets, num, den)).distinct()
-    links = materialize(links)
-    for used in (found, pairs, hot, sets):
+        rest = materialize(_rest_tasks(hot, links))
+        links = materialize(links.unionByName(_block_links(text, reps, rest, words, num, den)).distinct())
+    for used in (found, pairs, hot):
         discard(used)
     return links
 
