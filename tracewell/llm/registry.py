@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import exact_dedup, line_dedup, mixing, ngram_join, quality, sentencepiece, toxicity, url_filter, warc
+from tracewell.llm import exact_dedup, fingerprint, line_dedup, mixing, ngram_join, quality, sentencepiece, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -39,6 +39,11 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op7_fingerprint(spark, sf_dir):
+    """Fingerprints of each document and of its edited text, and their likeness."""
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     """The document that stays for each document."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -54,7 +59,7 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_ngram_join, op5_sentencepiece, op6_url_filter, op8_exact_dedup, op9_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_ngram_join, op5_sentencepiece, op6_url_filter, op7_fingerprint, op8_exact_dedup, op9_toxicity, op10_line_dedup)}
 
 _MIX = r"""
 with sized as (
