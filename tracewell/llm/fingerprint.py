@@ -26,9 +26,17 @@ MAX_BUCKETS = 100_000
 _WORD = "[^\\x20\\x09-\\x0D]++[\\x20\\x09\\x0B-\\x0D]*+"
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs; none without words."""
-    runs = F.regexp_extract_all(text, F.lit(f"(?:{_WORD}){{1,32}}+"), F.lit(0))
+    return bound(F.regexp_extract_all(text, F.lit(f"(?:{_WORD}){{1,32}}+"), F.lit(0)), _of_runs)
+
+
+def _of_runs(runs: Column) -> Column:
     head = F.regexp_extract_all(F.coalesce(F.get(runs, F.lit(0)), F.lit("")), F.lit(f"(?:{_WORD}){{1,4}}+"), F.lit(0))
     rest = F.when(F.size(runs) > 1, F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(F.concat(head, rest), lambda u: F.xxhash64(u)))
@@ -37,12 +45,10 @@ def digests(text: Column) -> Column:
 def _placed(key: Column, sign: Column, cells: int) -> Column:
     """A digest with its sign, its check and its three cells, one in each third of the table."""
     third = cells // 3
-    r = F.xxhash64(key, F.lit(cells))
-
-    def place(bits):
+    def place(r, bits):
         return (F.shiftrightunsigned(r, bits).bitwiseAND(F.lit(0xFFFF).cast("long")) % third).cast("int")
 
-    return F.struct(key.alias("k"), sign.cast("int").alias("s"), F.xxhash64(key, F.lit(-1)).alias("c"), place(0).alias("h0"), place(16).alias("h1"), place(32).alias("h2"))
+    return bound(F.xxhash64(key, F.lit(cells)), lambda r: F.struct(key.alias("k"), sign.cast("int").alias("s"), F.xxhash64(key, F.lit(-1)).alias("c"), place(r, 0).alias("h0"), place(r, 16).alias("h1"), place(r, 32).alias("h2")))
 
 
 def _added(start: Column, placed: Column, i: int, j: Column, way: int = 1) -> Column:
@@ -54,10 +60,10 @@ def table(placed: Column, cells: int) -> Column:
     """The cells of digests that ``_placed`` has placed: count, digests and checks."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
-    def part(i):
-        return F.transform(F.sequence(F.lit(0), F.lit(cells // 3 - 1)), lambda j: _added(zero, placed, i, j))
+    def part(units, i):
+        return F.transform(F.sequence(F.lit(0), F.lit(cells // 3 - 1)), lambda j: _added(zero, units, i, j))
 
-    return F.concat(*map(part, range(3)))
+    return bound(placed, lambda units: F.concat(*(part(units, i) for i in range(3))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -70,19 +76,19 @@ def peel(cells: Column, size: int) -> Column:
     third = size // 3
     none = F.array().cast("array<bigint>")
 
-    def step(state, _):
-        pure = F.filter(state["t"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(-1)) == c["c"]))
-        placed = F.array_distinct(F.transform(pure, lambda c: _placed(c["k"], c["n"], size)))
-
+    def after(state, placed):
         def part(i):
             return F.transform(F.slice(state["t"], i * third + 1, third), lambda c, j: _added(c, placed, i, j, -1))
 
         new = F.struct(F.concat(*map(part, range(3))).alias("t"), F.concat(state["f"], F.transform(placed, lambda p: p["k"])).alias("f"))
-        return F.when(F.size(pure) == 0, state).otherwise(new)
+        return F.when(F.size(placed) == 0, state).otherwise(new)
+
+    def step(state, _):
+        pure = F.filter(state["t"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(-1)) == c["c"]))
+        return bound(F.array_distinct(F.transform(pure, lambda c: _placed(c["k"], c["n"], size))), lambda placed: after(state, placed))
 
     start = F.struct(cells.alias("t"), none.alias("f"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["t"], lambda c: (c["n"] == 0) & (c["k"] == 0)), s["f"]))
-    return done
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["t"], lambda c: (c["n"] == 0) & (c["k"] == 0)), s["f"]))
 
 
 def written(cells: Column, units: Column) -> Column:
@@ -104,7 +110,7 @@ def _buckets(rows: DataFrame) -> Column:
     share = [i / many for i in range(1, many)]
     bounds = rows.select(F.percentile_approx("doc_id", share, max(10_000, 10 * many))).first()[0] or []
     wide = max(1, int(len(bounds) ** 0.5))
-    fine = F.array(*(F.lit(b).cast("long") for b in bounds)) if len(bounds) < 500 else F.from_json(F.lit(str(list(bounds))), "array<bigint>")
+    fine = F.array(*(F.lit(b).cast("long") for b in bounds)) if len(bounds) < 500 else F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     coarse = F.filter(fine, lambda b, i: i % wide == wide - 1)
     c = F.size(F.filter(coarse, lambda b: F.col("doc_id") > b))
     within = F.size(F.filter(F.slice(fine, c * wide + 1, F.lit(wide)), lambda b: F.col("doc_id") > b))
@@ -169,6 +175,6 @@ def _retry(*pairs: DataFrame) -> DataFrame:
 
     found = F.size("v")
     for size in reversed(GROUP_CELLS):
-        got = peel(subtract(side(1, size), side(-1, size)), size)
-        found = F.coalesce(F.when(got.isNotNull(), F.size(got)), found)
+        rest = found
+        found = bound(peel(subtract(side(1, size), side(-1, size)), size), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(rest))
     return dealt.select("uid", "kind", found.alias("d")).groupBy("uid").agg(F.sum(F.when(F.col("kind") == 0, F.col("d"))).alias("le"), F.sum(F.when(F.col("kind") == 1, F.col("d"))).alias("lx"))
