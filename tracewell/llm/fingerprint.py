@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.columns import bound
 from tracewell.storage import materialize
 
 CELLS = 15
@@ -26,11 +27,6 @@ MAX_BUCKETS = 100_000
 _WORD = "[^\\x20\\x09-\\x0D]++[\\x20\\x09\\x0B-\\x0D]*+"
 
 
-def bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs; none without words."""
     return bound(F.regexp_extract_all(text, F.lit(f"(?:{_WORD}){{1,32}}+"), F.lit(0)), _of_runs)

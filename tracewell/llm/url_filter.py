@@ -14,6 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.columns import bound
+from tracewell.storage import materialize
+
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0/.-_~^"
 _N = len(SYMBOLS)
@@ -48,8 +51,11 @@ def symbols(url: Column) -> Column:
 
 def grams(numbers: Column) -> Column:
     """The number of each character with the two before it."""
-    last = F.size(numbers) - 1
-    return F.when(last >= 2, F.transform(F.sequence(F.lit(2), last), lambda i: (F.get(numbers, i - 2) * _N + F.get(numbers, i - 1)) * _N + F.get(numbers, i))).otherwise(F.array().cast("array<int>"))
+    def each(n):
+        codes = F.zip_with(F.zip_with(n, F.slice(n, F.lit(2), F.greatest(F.size(n) - 1, F.lit(0))), lambda a, b: a * _N + b), F.slice(n, F.lit(3), F.greatest(F.size(n) - 2, F.lit(0))), lambda ab, c: ab * _N + c)
+        return F.filter(codes, lambda g: g.isNotNull())
+
+    return F.when(F.size(numbers) > 2, bound(numbers, each)).otherwise(F.array().cast("array<int>"))
 
 
 def log_likelihoods(counts: np.ndarray) -> np.ndarray:
@@ -93,7 +99,7 @@ def train(judged: DataFrame) -> tuple[list[int], float]:
 
 def score(numbers: Column, ratio: list[int]) -> Column:
     """Length-normalised log-likelihood difference; 0 for a url without characters."""
-    table = F.from_json(F.lit("[" + ",".join(map(str, ratio)) + "]"), "array<int>")
+    table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<int>")
     total = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, g: s + F.get(table, g))
     return F.when(F.size(numbers) > 0, total / 1000.0 / F.size(numbers)).otherwise(F.lit(0.0))
 
@@ -107,7 +113,8 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("grams", grams(symbols(F.col("url"))))
+    rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    rows = materialize(rows.withColumn("_numbers", symbols(F.col("url"))).withColumn("grams", grams(F.col("_numbers"))).drop("_numbers"))
     ratio, threshold = train(rows.select("url", "grams", F.col("_rule.verdict").alias("verdict")))
     value = score(F.col("grams"), ratio)
     own = F.when(F.col("score") < threshold, "block").otherwise("allow")
