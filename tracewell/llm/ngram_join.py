@@ -89,11 +89,23 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray) ->
 
 
 def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """From postings in order of key, size and class: pairs (kind 0: a, b) of shingles with few classes, and numbered members (kind 1: a the key, b the class) of the others."""
-    names = ["kind", "a", "b", "block"]
+    """From postings in order of key, size and class.
 
-    def emit(kind, a, b, block):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.asarray(block, np.int64))], names=names)
+    Kind 0: pairs a, b of shingles with few classes, how many such shingles they share, and how many
+    they must share. Kind 1: members (a the key, b the class), numbered by blocks, of the
+    shingles with many.
+    """
+    names = ["kind", "a", "b", "block", "least"]
+
+    def emit(kind, a, b, block, least=None):
+        least = np.zeros(len(a), np.int64) if least is None else least
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.asarray(block, np.int64)), pa.array(least)], names=names)
+
+    def must_share(x, y):
+        """Common prefix shingles without which the rest of neither row can reach the overlap that the bound asks for."""
+        whole = -(-num * (x + y) // (num + den))
+        beyond = -(-num * np.maximum(x, y) // den) - 1
+        return np.maximum(1, whole - beyond)
 
     def run(batches):
         rest = [np.zeros(0, np.int64)] * 3
@@ -127,14 +139,15 @@ def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
                 i, j = np.triu_indices(m, 1)
                 i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
                 fits = n[i] * den >= n[j] * num
-                pairs.append(np.stack([np.minimum(cid[i], cid[j])[fits], np.maximum(cid[i], cid[j])[fits]], 1))
+                i, j = i[fits], j[fits]
+                pairs.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]), must_share(n[i], n[j])], 1))
             if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0)
-                out.append(emit(0, p[:, 0].copy(), p[:, 1].copy(), np.zeros(len(p))))
+                p, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+                out.append(emit(0, p[:, 0].copy(), p[:, 1].copy(), shared, p[:, 2].copy()))
             rest = [key[cut:], cid[cut:], n[cut:]]
             yield from out
 
-    return postings.mapInArrow(run, "kind int, a long, b long, block long")
+    return postings.mapInArrow(run, "kind int, a long, b long, block long, least long")
 
 
 def _tail(batches) -> Iterator:
@@ -293,7 +306,9 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 
 
 def _links(text: DataFrame, rows: DataFrame, found: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    pairs = materialize(found.filter("kind = 0").select("a", "b").distinct())
+    # a pair that shares a frequent shingle too is found with that shingle's blocks
+    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("block").alias("shared"), F.max("least").alias("least"))
+    pairs = materialize(pairs.filter("shared >= least").select("a", "b"))
     hot = materialize(found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"), "block"))
     reps = rows.filter("n > 0").groupBy("cid").agg(F.min("uid").alias("uid"))
     tasks = _pair_tasks(pairs)
