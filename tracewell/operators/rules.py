@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.normalize import subnet24
+from tracewell.functions.normalize import is_private_ip, subnet24
 
 USERS = ("PHONE", "ACCOUNT", "UPI", "EMAIL")
 FINANCIAL = ("ACCOUNT", "UPI")
@@ -76,13 +76,13 @@ def _shared(pairs: DataFrame, clusters: DataFrame, victims: DataFrame, users: in
 
 def shared_ip(links: DataFrame, clusters: DataFrame, victims: DataFrame) -> DataFrame:
     """A public address that several actors use."""
-    pairs = _pairs(links, ["USED_IP", "TXN_FROM_IP", "SENT_FROM_IP"], "dst", "src").filter(~F.col("entity").rlike("^IP\\|(10\\.|127\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)"))
+    pairs = _pairs(links, ["USED_IP", "TXN_FROM_IP", "SENT_FROM_IP"], "dst", "src").filter(~is_private_ip(F.substring_index("entity", "|", -1)))
     return _finding(_shared(pairs, clusters, victims, 2), "SHARED-IP", F.lit("HIGH"), "MEDIUM", F.lit(15))
 
 
 def shared_subnet(links: DataFrame, clusters: DataFrame, victims: DataFrame) -> DataFrame:
     """A /24 network with several addresses that several actors use."""
-    pairs = _pairs(links, ["USED_IP", "TXN_FROM_IP", "SENT_FROM_IP"], "dst", "src")
+    pairs = _pairs(links, ["USED_IP", "TXN_FROM_IP", "SENT_FROM_IP"], "dst", "src").filter(~is_private_ip(F.substring_index("entity", "|", -1)))
     nets = pairs.withColumn("net", subnet24(F.substring_index("entity", "|", -1))).filter("net is not null")
     wide = nets.groupBy("net").agg(F.count_distinct("entity").alias("ips")).filter("ips >= 2")
     members = nets.join(wide, "net").select(F.col("net").alias("entity"), "member")
