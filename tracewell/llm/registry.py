@@ -101,5 +101,38 @@ ORACLES = {
 with h as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as s from documents),
 g as (select *, first_value(doc_id) over (partition by s order by n desc, doc_id nulls last) as keep_id, count(*) over (partition by s) as c from h)
 select doc_id, keep_id, c as group_size, doc_id is not distinct from keep_id as kept, s as text_sha256 from g
+""",
+    "op2_warc": r"""
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as n, sha256(b) as s from p),
+m as (select *, min(page_id) over (partition by s) as first from d)
+select page_id, cast(n as bigint) as payload_bytes, s as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id <> first then first end as refers_to from m
+""",
+    "op4_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 3 then list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+n as (select doc_id, len(s) as n from s),
+k as (select doc_id, unnest(s) as k from s),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from k a join k b on a.k = b.k and a.doc_id < b.doc_id group by all),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+e2 as (select a, b from e union all select b, a from e),
+r as (select doc_id, doc_id as reach from n union select r.doc_id, e2.b from r join e2 on e2.a = r.reach)
+select n.doc_id, cast(n as bigint) as n_shingles, min(reach) as component_id from n join r on r.doc_id = n.doc_id group by all
+""",
+    "op10_line_dedup": r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
+f as (select doc_id, pos, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') as norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as wc from l),
+k as (select *, row_number() over (partition by doc_id order by pos) as k, sum(wc) over (partition by doc_id order by pos) as c from f where wc > 0),
+g as (select doc_id, list(norm order by k) as norms, count(*) as n from k group by doc_id),
+fw as (select a.doc_id, a.k as s, min(b.k) as e from k a join k b on a.doc_id = b.doc_id and b.k >= a.k and b.c - a.c + a.wc >= 50 group by all),
+bw as (select b.doc_id, max(a.k) as s, b.k as e from k a join k b on a.doc_id = b.doc_id and b.k >= a.k and b.c - a.c + a.wc >= 50 group by b.doc_id, b.k),
+r as (select * from fw union select doc_id, s, e from bw),
+named as (select r.*, array_to_string(norms[s:e], chr(10)) as name from r join g using (doc_id)),
+later as (select *, row_number() over (partition by name order by doc_id, s) as copy from named),
+gone as (select distinct k.doc_id, k.pos from later join k on k.doc_id = later.doc_id and k.k between s and e where copy > 1),
+rest as (select l.doc_id, string_agg(line, chr(10) order by l.pos) as text from l left join gone on gone.doc_id = l.doc_id and gone.pos = l.pos where gone.pos is null group by l.doc_id),
+removed as (select doc_id, count(*) as x from gone group by doc_id)
+select d.doc_id, case when d.text is null then null when x is null then d.text when x = n then '' else rest.text end as text, cast(coalesce(n, 0) as bigint) as n_lines, cast(coalesce(x, 0) as bigint) as n_removed
+from documents d left join g on g.doc_id = d.doc_id left join removed on removed.doc_id = d.doc_id left join rest on rest.doc_id = d.doc_id
 """,
 }
