@@ -27,7 +27,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_repeated_lines(spark, docs, sf_dir):
     """Later copies of runs of lines with 50 words or more go; all documents stay."""
-    return _counted(line_dedup.dedup_lines(docs).drop("_lines", "_removed"))
+    return _counted(line_dedup.without_repeats(docs))
 
 
 def drop_near_copies(spark, docs, sf_dir):

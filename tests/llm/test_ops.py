@@ -162,6 +162,9 @@ def test_line_dedup(docs, rows, none):
     want = sorted(((i, None if t is None else out[(i is None, i or 0, t)]) for i, t, _ in rows), key=str)
     assert got == want and any(a != b for (_, a), (_, b) in zip(got, sorted(((i, t) for i, t, _ in rows), key=str), strict=True))
     assert line_dedup.line_dedup(none).count() == 0
+    clash = docs.withColumn("_lines", F.lit(7))
+    kept = line_dedup.without_repeats(clash, 20)
+    assert kept.columns == clash.columns and {(r._uid, r._lines) for r in kept.collect()} == {("u", 7), (None, 7)}
 
 
 @pytest.fixture(scope="module")

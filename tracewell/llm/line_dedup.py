@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.columns import fresh
 from tracewell.llm.words import mix, pieces
 from tracewell.storage import join_checked, join_groups, materialize
 
@@ -107,8 +108,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("uid").agg(F.collect_set(F.struct("first", "past")).alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated runs deleted from text, besides ``_lines`` and ``_removed`` (lines with words before, and deleted).
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with later copies of repeated runs deleted from text; see ``dedup_lines``."""
+    return dedup_lines(docs, min_words, *fresh(docs, "_lines", "_removed")).select(*docs.columns)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, lines: str = "_lines", removed: str = "_removed") -> DataFrame:
+    """``docs`` with later copies of repeated runs deleted from text, besides columns ``lines`` and ``removed`` (lines with words before, and deleted).
 
     A run is deleted where it has at least ``min_words`` words and an equal run stands in an
     earlier document, or earlier in this one; lines are equal when their words are.  Rows
@@ -117,25 +123,26 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     is, byte for byte.  Other columns are kept, whatever their names; an empty table gives
     an empty table.
     """
-    keyed = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    cuts = materialize(repeated_runs(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_uid").alias("uid"), F.col("text").cast("string").alias("text")), min_words).withColumnRenamed("uid", "_uid").withColumnRenamed("cuts", "_cuts"))
-    joined = join_checked(keyed, cuts, "_uid", "left").select(*docs.columns, "_cuts")
+    uid, cut = fresh(docs, "_uid", "_cuts")
+    keyed = docs.withColumn(uid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    cuts = materialize(repeated_runs(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(uid).alias("uid"), F.col("text").cast("string").alias("text")), min_words).withColumnsRenamed({"uid": uid, "cuts": cut}))
+    joined = join_checked(keyed, cuts, uid, "left").select(*docs.columns, cut)
     names, place = docs.columns, docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lines", T.LongType()), T.StructField("_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(removed, T.LongType())])
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                texts, lines, removed = [], [], []
+                texts, before, gone_ = [], [], []
                 for t, cut in zip(part.column(place), part.column(part.num_columns - 1), strict=True):
                     raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                     kept, n, gone = cut_lines(raw, [(c["first"], c["past"]) for c in cut.as_py()] if cut.is_valid else [])
                     texts.append(kept if t.is_valid else None)
-                    lines.append(n)
-                    removed.append(gone)
+                    before.append(n)
+                    gone_.append(gone)
                 columns = list(part.columns[:-1])
                 columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "_lines", "_removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(gone_, pa.int64())], names=[*names, lines, removed])
 
     return joined.mapInArrow(run, schema)
 

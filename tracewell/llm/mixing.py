@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.columns import fresh
 from tracewell.storage import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -96,12 +97,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and size are taken alike.
     """
-    plan = mix_plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"))
-    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    d, p = docs.withColumn("_size", words).alias("d"), plan.alias("p")
-    same = F.expr("d.doc_id <=> p.doc_id and cast(d.source as string) <=> p.source and d._size = p.size")
-    joined = d.join(p, same).select("d.*", "_taken").filter("_taken > 0")
-    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))
-    each = joined.withColumn("_lap", F.explode(copies)).withColumn("_words", F.least(F.col("_size"), F.col("_taken") - (F.col("_lap") - 1) * F.col("_size")))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text").cast("string"), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    return each.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    size, taken, lap, words = fresh(docs, "_size", "_taken", "_lap", "_words")
+    plan = mix_plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias(taken)).filter(F.col(taken) > 0)
+    text = F.col("text").cast("string")
+    d = docs.withColumn(size, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).alias("d")
+    same = F.expr(f"d.doc_id <=> p.doc_id and cast(d.source as string) <=> p.source and d.`{size}` = p.size")
+    each = d.join(plan.alias("p"), same).select("d.*", taken)
+    each = each.withColumn(lap, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)))))
+    each = each.withColumn(words, F.least(F.col(size), F.col(taken) - (F.col(lap) - 1) * F.col(size)))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
+    return each.withColumn("text", F.when(F.col(words) < F.col(size), cut).otherwise(F.col("text"))).select(*docs.columns)
