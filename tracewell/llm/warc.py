@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.storage import join_checked, join_groups, materialize, shared_dir
+from tracewell.storage import home, join_checked, join_groups, materialize
 
 CHUNK = 1 << 20
 RUN = 16
@@ -231,6 +231,6 @@ def round_trip(pages: DataFrame, chunk: int = CHUNK, archive: int = ARCHIVE) ->
     and refers_to is null where only null page_ids share a payload.  Repeated rows each have
     a record; an empty table gives no rows; other columns are ignored.
     """
-    path = f"{shared_dir(pages.sparkSession)}/tracewell/warc-{uuid.uuid4().hex}"
+    path = f"{home(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, chunk, archive)
     return read_archives(pages.sparkSession, path)
