@@ -26,9 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def home(spark: SparkSession) -> str:
+    """Where this application keeps its tables."""
+    return f"{shared_dir(spark)}/tracewell/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this application; frames that still read them fail afterwards."""
+    _file_system(spark, home(spark), lambda fs, p: fs.delete(p, True))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it."""
-    path = f"{shared_dir(df.sparkSession)}/tracewell/{uuid.uuid4().hex}"
+    path = f"{home(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
