@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping."""
+"""Connected components by contraction to minimum labels."""
 
 from __future__ import annotations
 
@@ -11,24 +11,30 @@ from tracewell.storage import discard, materialize
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """``(node, component)`` for each node of ``edges``; a component's id is its smallest node.
 
-    Every round takes the smallest label of a node's neighbours, then lets each label
-    jump to its own label, so that long chains shrink by more than half a round.  Rounds
-    are cut by tables in the shared folder.  Edges with a null end are ignored; an empty
-    input gives an empty result; loops and repeated edges change nothing.
+    Every round each node points to its smallest neighbour (or itself), pointers jump once, and the
+    graph is contracted along them: edges between the labels of their ends remain, once
+    each, so dense groups shrink to a few edges in the first round.  Rounds are cut by tables
+    in the shared folder.  Edges with a null end are ignored; an empty input gives an
+    empty result; loops and repeated edges change nothing.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
-    both = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("component")))
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
+    left = materialize(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    labels = materialize(left.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node")))
     for _ in range(max_rounds):
-        seen = both.join(labels, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(seen, "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("was"))
-        top = labels.select(F.col("node").alias("low"), F.col("component").alias("top"))
-        new = materialize(low.join(top, "low").select("node", F.least("low", "top").alias("component"), (F.least("low", "top") != F.col("was")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        discard(labels)
-        labels = new.drop("moved")
-        labels._tracewell_path = new._tracewell_path
-        if not moved:
-            discard(both)
+        open_ = materialize(left.filter("u <> v"))
+        discard(left)
+        left = open_
+        if not left.limit(1).count():
+            discard(left)
             return labels
+        near = left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("to"))  # u < v: only v can point lower
+        jump = near.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = materialize(near.join(jump, "to", "left").select("node", F.coalesce("far", "to").alias("to")))
+        a = left.join(step.select(F.col("node").alias("u"), F.col("to").alias("a")), "u", "left").select(F.coalesce("a", "u").alias("a"), "v")
+        b = a.join(step.select(F.col("node").alias("v"), F.col("to").alias("b")), "v").filter(F.col("a") != F.col("b"))
+        new = materialize(b.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        moved = materialize(labels.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        for old in (left, labels, step):
+            discard(old)
+        left, labels = new, moved
     raise RuntimeError(f"no fixed point in {max_rounds} rounds")
