@@ -83,6 +83,21 @@ def test_mixing(docs, rows, none):
     assert whole.columns == docs.columns and mixing.mix_plan(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [256, 4])
+def test_mixed_gives_whole_documents(spark, size, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", size, raising=False)
+    texts = {i: " ".join(f"d{i}w{k}" for k in range(20 + i % 17)) for i in range(120)}
+    docs = spark.createDataFrame([(i, t, f"s{i % 4}") for i, t in texts.items()], "doc_id long, text string, source string")
+    got, plan = mixing.mixed(docs).collect(), mixing.mix_plan(docs).groupBy("source").agg(F.sum("taken")).collect()
+    for source, words in plan:
+        rows = [r for r in got if r.source == source]
+        cut = [r for r in rows if r.text != texts[r.doc_id]]
+        assert len(cut) <= 1 and all(texts[r.doc_id].startswith(r.text) for r in cut)
+        assert sum(len(r.text.split()) for r in rows) == words
+        times = [sum(r.doc_id == i for r in rows) for i in texts if i % 4 == int(source[1])]
+        assert max(times) - min(times) <= 1 and max(times) <= 3
+
+
 def test_seats_go_to_highest_quotients(spark):
     rnd = random.Random(2)
     votes = [rnd.randint(1, 500) for _ in range(12)]

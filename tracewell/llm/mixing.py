@@ -11,14 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.columns import fresh
-from tracewell.storage import materialize
+from tracewell.storage import join_checked, materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 REACH = 3
+RANGE = 256
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], reach: int = REACH) -> DataFrame:
@@ -61,6 +62,38 @@ def apportion(parts: DataFrame, group: list[str], votes: str, seats: str, out: s
     return won
 
 
+def _sized(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``doc_id, source, size, _order, _head, _tie`` of each row: its place in the seeded order, the first 32 bits of that, and its shard."""
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = sized.withColumn("_order", _order("doc_id", seed)).withColumn("_head", _head(F.col("_order")))
+    return materialize(sized.withColumn("_tie", F.col("_head") % shards))
+
+
+def _order(doc_id: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+
+
+def _head(order: Column) -> Column:
+    return F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
+
+
+def _key() -> Column:
+    return F.coalesce(F.hex(F.col("source").cast("string")), F.lit("~"))
+
+
+def _takes(sized: DataFrame, weights: Sequence[int], block: int, reach: int) -> DataFrame:
+    """``_source, _tie, shard_size, _take, source_size, target``: words that each shard of each source gives."""
+    shard = materialize(sized.groupBy("source", "_tie").agg(F.sum("size").alias("shard_size")))
+    goal = targets(shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, reach)
+    goal = materialize(goal.withColumn("_tie", F.coalesce(F.hex("source"), F.lit("~"))).withColumn("_all", F.lit(1)).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block)))
+    seats = apportion(goal, ["_all"], "target", "_seats", "quota").withColumnRenamed("_tie", "_source").drop("_all")
+    plan = goal.withColumnRenamed("_tie", "_source").drop("_all", "_seats").join(seats, "_source", "left").fillna(0, ["quota"])
+    parts = shard.withColumn("_source", _key()).drop("source").join(F.broadcast(plan.select("_source", "quota")), "_source")
+    per = apportion(parts, ["_source"], "shard_size", "quota", "shard_quota")
+    parts = parts.drop("quota").join(per, ["_source", "_tie"], "left").select("_source", "_tie", "shard_size", F.least(F.coalesce("shard_quota", F.lit(0)) * block, F.col("shard_size") * reach).alias("_take"))
+    return parts.join(F.broadcast(plan.select("_source", "source_size", "target")), "_source")
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block: int = 8, shards: int = 1024, seed: int = 42, reach: int = REACH) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted).
 
@@ -70,21 +103,10 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block: int = 8
     last; reruns agree.  Where all sources are empty, targets are 0; an empty table gives
     no rows; other columns are ignored.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.withColumn("_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    sized = materialize(sized.withColumn("_tie", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % shards))
-    shard = materialize(sized.groupBy("source", "_tie").agg(F.sum("size").alias("shard_size")))
-    goal = targets(shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, reach)
-    goal = materialize(goal.withColumn("_tie", F.coalesce(F.hex("source"), F.lit("~"))).withColumn("_all", F.lit(1)).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block)))
-    seats = apportion(goal, ["_all"], "target", "_seats", "quota").withColumnRenamed("_tie", "_source").drop("_all")
-    plan = goal.withColumnRenamed("_tie", "_source").drop("_all", "_seats").join(seats, "_source", "left").fillna(0, ["quota"])
-    key = F.coalesce(F.hex("source"), F.lit("~"))
-    parts = shard.withColumn("_source", key).drop("source").join(F.broadcast(plan.select("_source", "quota")), "_source")
-    per = apportion(parts, ["_source"], "shard_size", "quota", "shard_quota")
-    parts = parts.drop("quota").join(per, ["_source", "_tie"], "left").select("_source", "_tie", "shard_size", F.least(F.coalesce("shard_quota", F.lit(0)) * block, F.col("shard_size") * reach).alias("_take"))
-    parts = parts.join(F.broadcast(plan.select("_source", "source_size", "target")), "_source")
+    sized = _sized(docs, shards, seed)
+    parts = _takes(sized, weights, block, reach)
     w = Window.partitionBy("_source", "_tie").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("_source", key).withColumn("_before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    rows = sized.withColumn("_source", _key()).withColumn("_before", F.coalesce(F.sum("size").over(w), F.lit(0)))
     rows = rows.join(parts, ["_source", "_tie"])
     laps = F.floor(F.col("_take") / F.greatest(F.col("shard_size"), F.lit(1)))
     rest = F.col("_take") - laps * F.col("shard_size")
@@ -92,18 +114,43 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block: int = 8
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix, with the columns of ``docs``: a document once for each time it is taken whole, and once with its first words where a block ends inside it.
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block: int = 8, shards: int = 1024, seed: int = 42, reach: int = REACH) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``: a document once for each time it is taken.
 
-    Rows that agree in doc_id, source and size are taken alike.
+    A source gives as many words as ``mix_plan`` takes of it, but in one seeded order of the
+    whole source, around it again where they exceed it, so all documents are whole but the
+    last of each source, of which the first words are taken.  The order is cut into ranges
+    of about ``RANGE`` documents; sums of words tell which ranges are in, and only the range
+    in which a source ends is sorted.  Rows that agree in doc_id and source follow each
+    other by size and text.
     """
-    size, taken, lap, words = fresh(docs, "_size", "_taken", "_lap", "_words")
-    plan = mix_plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias(taken)).filter(F.col(taken) > 0)
+    sized = _sized(docs, shards, seed)
+    give = _takes(sized, weights, block, reach).groupBy("_source").agg(F.sum("_take").alias("_words"))
+    per = sized.groupBy(_key().alias("_source")).agg(F.ceil(F.count("*") / RANGE).alias("_ranges"), F.sum("size").alias("_size")).join(give, "_source")
+    laps = F.floor(F.col("_words") / F.greatest("_size", F.lit(1)))
+    per = materialize(per.select("_source", "_ranges", laps.alias("_laps"), (F.col("_words") - laps * F.col("_size")).alias("_rest")))
+    ranges = sized.withColumn("_source", _key()).join(F.broadcast(per), "_source").groupBy("_source", _range(F.col("_head"), F.col("_ranges")).alias("_range")).agg(F.sum("size").alias("_size"), F.first("_laps").alias("_laps"), F.first("_rest").alias("_rest"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("_left", F.col("_rest") - before).withColumn("_more", F.when(F.col("_left") >= F.col("_size"), 1).when(F.col("_left") <= 0, 0))
+
+    source, count, at, times, more, left, order, size, last, lap = fresh(docs, "_source", "_ranges", "_range", "_laps", "_more", "_left", "_order", "_size", "_last", "_lap")
+    ranges = materialize(ranges.select(F.col("_source").alias(source), F.col("_range").alias(at), F.col("_laps").alias(times), F.col("_more").alias(more), F.col("_left").alias(left)))
     text = F.col("text").cast("string")
-    d = docs.withColumn(size, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).alias("d")
-    same = F.expr(f"d.doc_id <=> p.doc_id and cast(d.source as string) <=> p.source and d.`{size}` = p.size")
-    each = d.join(plan.alias("p"), same).select("d.*", taken)
-    each = each.withColumn(lap, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)))))
-    each = each.withColumn(words, F.least(F.col(size), F.col(taken) - (F.col(lap) - 1) * F.col(size)))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
-    return each.withColumn("text", F.when(F.col(words) < F.col(size), cut).otherwise(F.col("text"))).select(*docs.columns)
+    rows = docs.withColumn(source, _key()).withColumn(order, _order("doc_id", seed)).join(F.broadcast(per.select(F.col("_source").alias(source), F.col("_ranges").alias(count))), source)
+    rows = join_checked(rows.withColumn(at, _range(_head(F.col(order)), F.col(count))), ranges, [source, at])
+
+    def repeated(frame: DataFrame, n: Column) -> DataFrame:
+        return frame.filter(n > 0).withColumn(lap, F.explode(F.sequence(F.lit(1).cast("long"), n)))
+
+    whole = repeated(rows.filter(F.col(more).isNotNull() & text.rlike(WORD)), F.col(times) + F.col(more))
+    ends = rows.filter(F.col(more).isNull()).withColumn(size, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).filter(F.col(size) > 0)
+    w = Window.partitionBy(source).orderBy(order, "doc_id", size, text).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn(last, F.greatest(F.lit(0), F.least(F.col(size), F.col(left) - F.coalesce(F.sum(size).over(w), F.lit(0)))))
+    ends = repeated(ends, F.col(times) + (F.col(last) > 0).cast("long"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(last).cast("int")), "")
+    ends = ends.withColumn("text", F.when((F.col(lap) > F.col(times)) & (F.col(last) < F.col(size)), cut).otherwise(F.col("text")))
+    return whole.select(*docs.columns).unionByName(ends.select(*docs.columns))
+
+
+def _range(head: Column, ranges: Column) -> Column:
+    return F.shiftright(head * ranges, 32)
