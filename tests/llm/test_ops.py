@@ -239,6 +239,17 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0)).count() == 0
 
 
+def test_url_models_tell_digits_marks_and_long_words_apart(spark):
+    kinds = {"en": ("1", "?", "é", "abcdefx"), "de": ("2", "#", "ü", "abcdefy")}
+    judged = [f"http://{'example.net' if d == 'en' else 'example.com'}/{d}/{k}{i}-" for d, marks in kinds.items() for k in marks for i in "wxyz" * 20]
+    asked = [f"http://other.org/{k}q" for marks in kinds.values() for k in marks]
+    pages = spark.createDataFrame(list(enumerate(judged + asked)), "page_id long, url string")
+    rules = (("allow", "example.net/en/"), ("block", "example.com/de/"))
+    got = {r.page_id: r.score for r in url_filter.url_filter(pages, rules).collect()}
+    allowed, blocked = ([got[len(judged) + 4 * j + i] for i in range(4)] for j in (0, 1))
+    assert all(a > b for a, b in zip(allowed, blocked, strict=True)), (allowed, blocked)
+
+
 @pytest.mark.parametrize("size", [5000, 20])
 def test_fingerprints(docs, rows, none, size, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", size)

@@ -1,11 +1,12 @@
 """URL filters: rules, and beyond them the ratio of two character language models.
 
-Variable-order Markov models of accepted and of rejected URLs (contexts of two characters,
-one, none, each smoothed by the shorter) give every character a log-likelihood ratio.  A
-URL's ratio is divided by its length and compared with a threshold that is calibrated on
-URLs left out of training.  URLs are mapped to 33 symbols, so a model is a table of
-33 ** 3 entries whatever the size of the corpus; its counts come from all URLs that a rule
-judges.  Everything on the executors is DataFrame functions.
+Variable-order Markov models of accepted and of rejected URLs (contexts of five characters
+down to none, each smoothed by the shorter) give every character a log-likelihood ratio.
+A URL's ratio is divided by its length and compared with a threshold that is calibrated on
+URLs left out of training.  Characters are those of the url, with A-Z lower-cased up to the
+end of the host.  Counts and ratios stay in tables keyed by gram, which grow with the
+corpus; urls are scored by joining their grams.  Everything on the executors is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.columns import bound
-from tracewell.storage import materialize
+from tracewell.storage import BROADCAST_BYTES, bytes_of, join_checked, join_groups, materialize
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0/.-_~^"
-_N = len(SYMBOLS)
+ORDER = 5
+START = "\x02"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+VERDICTS = ("allow", "block")
 _BINS = 2000
 
 
@@ -28,8 +31,7 @@ def parts(url: Column) -> tuple[Column, Column]:
     u = F.coalesce(url.cast("string"), F.lit(""))
     at = F.instr(u, "://")
     rest = F.when(at > 0, u.substr(at + 3, F.length(u))).otherwise(F.lit(""))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), upper, upper.lower()), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
+    return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, UPPER.lower()), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -42,66 +44,75 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def symbols(url: Column) -> Column:
-    """The url as an array of symbol numbers, after two that mark its beginning."""
-    u = F.lower(F.coalesce(url.cast("string"), F.lit("")))
-    u = F.regexp_replace(F.regexp_replace(u, "[0-9]", "0"), "[^a-z0/._-]", "~")
-    return F.transform(F.filter(F.split(F.concat(F.lit("^^"), u), ""), lambda c: c != ""), lambda c: F.position(c, F.lit(SYMBOLS)) - 1)
-
-
-def grams(numbers: Column) -> Column:
-    """The number of each character with the two before it."""
-    def each(n):
-        codes = F.zip_with(F.zip_with(n, F.slice(n, F.lit(2), F.greatest(F.size(n) - 1, F.lit(0))), lambda a, b: a * _N + b), F.slice(n, F.lit(3), F.greatest(F.size(n) - 2, F.lit(0))), lambda ab, c: ab * _N + c)
-        return F.filter(codes, lambda g: g.isNotNull())
-
-    return F.when(F.size(numbers) > 2, bound(numbers, each)).otherwise(F.array().cast("array<int>"))
-
-
-def log_likelihoods(counts: np.ndarray) -> np.ndarray:
-    """Log-probability of each gram: Witten and Bell's mixture of orders two, one and none."""
-    c2 = counts.reshape(_N * _N, _N).astype(float)
-    c1 = c2.reshape(_N, _N, _N).sum(0)
-    c0 = c1.sum(0)
-    p0 = (c0 + 0.5) / (c0.sum() + 0.5 * _N)
-
-    def mixed(c, below):
-        kinds = (c > 0).sum(1, keepdims=True)
-        total = c.sum(1, keepdims=True)
-        return (c + (kinds + 1) * below) / (total + kinds + 1)
-
-    p1 = mixed(c1, np.tile(p0, (_N, 1)))
-    p2 = mixed(c2, np.tile(p1, (_N, 1)))
-    return np.log(p2).ravel()
-
-
-def train(judged: DataFrame) -> tuple[list[int], float]:
-    """Ratios in thousandths by gram, and the threshold, from ``url, grams, verdict``; without URLs of both kinds all ratios are 0."""
-    seen = judged.filter("verdict is not null").withColumn("kept", F.pmod(F.xxhash64("url"), F.lit(5)) == 0)
-    table = seen.filter("not kept").select("verdict", F.explode("grams").alias("gram")).groupBy("verdict", "gram").count().toArrow()
-    counts = {v: np.zeros(_N**3) for v in ("allow", "block")}
-    for v, g, n in zip(*(table.column(i).to_pylist() for i in range(3)), strict=True):
-        counts[v][g] = n
-    if not all(c.any() for c in counts.values()):
-        return [0] * _N**3, 0.0
-    ratio = np.rint(1000 * np.clip(log_likelihoods(counts["allow"]) - log_likelihoods(counts["block"]), -20, 20)).astype(int).tolist()
-    bins = F.greatest(F.lit(-_BINS), F.least(F.lit(_BINS), F.floor(score(F.col("grams"), ratio) * 100))).cast("int")
-    found = seen.filter("kept").select("verdict", bins.alias("bin")).groupBy("verdict", "bin").count().toArrow()
-    hits = {v: np.zeros(2 * _BINS + 1) for v in counts}
+def grams(url: Column) -> Column:
+    """Each character of the url with the ``ORDER`` before it; before the first stand marks of the beginning."""
+    front = F.regexp_extract(url, "^([^/?#]*://)?[^/?#]*", 0)
+    known = F.concat(F.lit(START * ORDER), F.translate(front, UPPER, UPPER.lower()), url.substr(F.length(front) + 1, F.length(url)))
+
+    def each(c):
+        return F.transform(F.sequence(F.lit(1), F.size(c) - ORDER), lambda i: F.array_join(F.slice(c, i, F.lit(ORDER + 1)), ""))
+
+    return F.when(F.length(url) > 0, bound(F.filter(F.split(known, ""), lambda c: c != ""), each)).otherwise(F.array().cast("array<string>"))
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """``gram, n, allow, block`` from ``url, verdict``: how often each gram stands in all urls, and in those of each verdict that are trained on."""
+    each = rows.select(F.when(~_held_out(), F.col("verdict")).alias("verdict"), F.explode(grams(F.col("url"))).alias("gram"))
+    return materialize(each.groupBy("gram").agg(F.count("*").alias("n"), *(F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS)))
+
+
+def _held_out() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """``gram, n, ratio``: log-likelihood ratio of each gram in thousandths, by Witten and Bell's mixture of all orders up to ``ORDER``."""
+    sizes = [counts]
+    for k in range(ORDER - 1, -1, -1):
+        sizes.append(materialize(sizes[-1].groupBy(F.right("gram", F.lit(k + 1)).alias("gram")).agg(*(F.sum(c).alias(c) for c in ("n", *VERDICTS)))))
+    below = None
+    for k, level in enumerate(reversed(sizes)):
+        if below is None:
+            total = level.agg(F.count("*").alias("_kinds"), *(F.sum(v).alias(f"_{v}") for v in VERDICTS))
+            p = level.crossJoin(F.broadcast(total))
+            p = p.select("gram", "n", *((F.col(v) + 0.5) / (F.col(f"_{v}") + 0.5 * (F.col("_kinds") + 1)) for v in VERDICTS))
+        else:
+            context = F.left("gram", F.lit(k))
+            sums = materialize(level.groupBy(context.alias("_context")).agg(*(F.sum(v).alias(f"_{v}") for v in VERDICTS), *(F.count_if(F.col(v) > 0).alias(f"_{v}_kinds") for v in VERDICTS)))
+            p = join_checked(level.withColumn("_context", context), sums, "_context")
+            shorter = materialize(below.select(F.col("gram").alias("_shorter"), *(F.col(v).alias(f"_p_{v}") for v in VERDICTS)))
+            p = join_checked(p.withColumn("_shorter", F.right("gram", F.lit(k))), shorter, "_shorter")
+            p = p.select("gram", "n", *((F.col(v) + (F.col(f"_{v}_kinds") + 1) * F.col(f"_p_{v}")) / (F.col(f"_{v}") + F.col(f"_{v}_kinds") + 1) for v in VERDICTS))
+        below = p.toDF("gram", "n", *VERDICTS)
+    ratio = F.round(1000 * F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.log("allow") - F.log("block")))).cast("long")
+    return materialize(below.select("gram", "n", ratio.alias("ratio")))
+
+
+def scored(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``uid, score`` of each of ``uid, url`` that has characters: the sum of its grams' ratios over their number.
+
+    The table is broadcast while it is small; beyond that only grams with over a thousandth of all are.
+    """
+    each = rows.select("uid", F.explode(grams(F.col("url"))).alias("gram"))
+    if bytes_of(table) <= BROADCAST_BYTES:
+        known = each.join(F.broadcast(table), "gram")
+    else:
+        known = join_groups(each, table, "gram", "n", table.agg(F.sum("n")).first()[0])
+    return known.groupBy("uid").agg((F.sum("ratio") / 1000.0 / F.count("*")).alias("score"))
+
+
+def threshold(judged: DataFrame) -> float:
+    """The score that parts ``verdict, score`` best; 0 without both verdicts."""
+    bins = F.greatest(F.lit(-_BINS), F.least(F.lit(_BINS), F.floor(F.col("score") * 100))).cast("int")
+    found = judged.groupBy("verdict", bins.alias("bin")).count().toArrow()
+    hits = {v: np.zeros(2 * _BINS + 1) for v in VERDICTS}
     for v, b, n in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
         hits[v][b + _BINS] = n
     if not all(h.any() for h in hits.values()):
-        return ratio, 0.0
+        return 0.0
     right = np.cumsum(hits["block"]) / hits["block"].sum() - np.cumsum(hits["allow"]) / hits["allow"].sum()
     best = np.flatnonzero(right >= right.max() - 1e-12)
-    return ratio, (int(best[len(best) // 2]) - _BINS + 1) / 100
-
-
-def score(numbers: Column, ratio: list[int]) -> Column:
-    """Length-normalised log-likelihood difference; 0 for a url without characters."""
-    table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<int>")
-    total = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, g: s + F.get(table, g))
-    return F.when(F.size(numbers) > 0, total / 1000.0 / F.size(numbers)).otherwise(F.lit(0.0))
+    return (int(best[len(best) // 2]) - _BINS + 1) / 100
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -114,8 +125,14 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = materialize(rows.withColumn("_numbers", symbols(F.col("url"))).withColumn("grams", grams(F.col("_numbers"))).drop("_numbers"))
-    ratio, threshold = train(rows.select("url", "grams", F.col("_rule.verdict").alias("verdict")))
-    value = score(F.col("grams"), ratio)
-    own = F.when(F.col("score") < threshold, "block").otherwise("allow")
-    return rows.withColumn("score", value).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "score")
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("verdict", F.col("_rule.verdict")))
+    counts = gram_counts(rows)
+    seen = counts.agg(*(F.coalesce(F.sum(v), F.lit(0)) for v in VERDICTS)).first()
+    if all(seen):
+        values = materialize(scored(rows, ratios(counts)))
+        limit = threshold(rows.filter(F.col("verdict").isNotNull() & _held_out()).join(values, "uid").select("verdict", "score"))
+    else:
+        values, limit = rows.limit(0).select("uid", F.lit(0.0).alias("score")), 0.0
+    rows = rows.join(values, "uid", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    own = F.when(F.col("score") < limit, "block").otherwise("allow")
+    return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("verdict", own).alias("verdict"), "score")
