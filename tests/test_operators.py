@@ -76,6 +76,18 @@ def test_trace_depth_is_least(spark, frame, rows):
     assert G.trace(frame, spark.createDataFrame([], "node string")).count() == 0
 
 
+def test_traced_queries_go_to_the_full_depth(spark, monkeypatch):
+    from tracewell.plans import registry
+
+    pays = [("ACCOUNT|A", "ACCOUNT|B"), ("ACCOUNT|B", "ACCOUNT|C1"), ("ACCOUNT|C1", "ACCOUNT|D"), ("ACCOUNT|D", "ACCOUNT|E"), ("ACCOUNT|E", "ACCOUNT|F"), ("ACCOUNT|F", "ACCOUNT|G"), ("ACCOUNT|G", "ACCOUNT|H")]
+    rows = [(s, d, 100.0 - i, START + dt.timedelta(hours=i), i) for i, (s, d) in enumerate(pays)]
+    paid = spark.createDataFrame(rows, "src string, dst string, amount double, ts timestamp_ntz, seq long")
+    monkeypatch.setattr(registry, "funds", lambda spark, sf: paid)
+    assert {r.seq: r.depth for r in registry.QUERIES["g03_trace"](spark, "").collect()} == {i: i + 1 for i in range(6)}
+    layers = {r.node: r.layer for r in registry.QUERIES["g06a_layers_full"](spark, "").collect()}
+    assert layers == {"ACCOUNT|A": 0} | {d: i + 1 for i, (_, d) in enumerate(pays[:6])}
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

@@ -18,6 +18,7 @@ from tracewell.operators import trace as G
 from tracewell.operators import transfers as T
 from tracewell.operators.components import connected_components
 from tracewell.plans.tables import CLUSTERS, FUNDS, LINKS, TWO, funds, identity_edges, links, sessions, table, two_statements
+from tracewell.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -374,8 +375,9 @@ def _origins(spark, sf):
 
 @query()
 def g03_trace(spark, sf):
-    """Hops of the money of the first customer, three deep."""
-    return G.trace(funds(spark, sf), _origins(spark, sf), 3)
+    """Hops of the money of the node with the largest net loss, to the full depth."""
+    f = funds(spark, sf)
+    return G.trace(f, G.default_origins(T.node_flows(f)))
 
 
 @query(f"""with recursive {FUNDS}, o as (select min(src) as node from funds where src like 'ACCOUNT|C%'),
@@ -388,6 +390,14 @@ def g06_layers(spark, sf):
     return G.layers(G.trace(funds(spark, sf), o, 2), o)
 
 
+@query()
+def g06a_layers_full(spark, sf):
+    """As g06_layers, whose SQL ends at two hops, from the node with the largest net loss and to the full depth."""
+    f = funds(spark, sf)
+    o = materialize(G.default_origins(T.node_flows(f)))
+    return G.layers(G.trace(f, o), o)
+
+
 @query(f"with {FUNDS}, paid as (select * from funds where src like 'ACCOUNT|C%'), {_FLOWS.format(t='paid')} select node, in_amount, out_amount from flows where in_amount > 0 and out_amount = 0")
 def g05_terminals(spark, sf):
     """Where money comes to rest, of payments without returns."""
