@@ -88,6 +88,15 @@ def test_traced_queries_go_to_the_full_depth(spark, monkeypatch):
     assert layers == {"ACCOUNT|A": 0} | {d: i + 1 for i, (_, d) in enumerate(pays[:6])}
 
 
+def test_sim_velocity_counts_numbers_where_no_card_is_known(spark):
+    from tracewell.operators import rules as R
+
+    pairs = [(f"PHONE|{h}{i}", f"IMEI|{h}", "USES_HANDSET") for h in "abc" for i in range(3)] + [(f"IMSI|{i}", "IMEI|d", "SIM_IN_HANDSET") for i in range(3)] + [("IMSI|9", "IMEI|c", "SIM_IN_HANDSET")]
+    seen = [("PHONE|b0", START), ("PHONE|b1", START + dt.timedelta(days=40)), ("PHONE|a0", START)]
+    got = R.sim_velocity(spark.createDataFrame(pairs, "src string, dst string, rel string"), spark.createDataFrame(seen, "node string, ts timestamp_ntz")).collect()
+    assert sorted(r.entity for r in got) == ["IMEI|a", "IMEI|d"]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

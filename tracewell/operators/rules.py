@@ -49,10 +49,17 @@ def shared_handset(links: DataFrame, least: int = 2) -> DataFrame:
 
 
 def sim_velocity(links: DataFrame, sightings: DataFrame, least: int = 3, days: int = 30) -> DataFrame:
-    """A handset with several SIMs within some days; ``sightings``: node, ts."""
+    """A handset with several SIMs within some days, or, where none is known, several numbers; ``sightings``: node, ts.
+
+    The days are those of its SIMs and numbers; a handset without a known time counts too.
+    """
     cards = _pairs(links, ["SIM_IN_HANDSET"], "dst", "src")
-    span = cards.distinct().join(sightings.withColumnRenamed("node", "member"), "member").groupBy("entity").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    g = _groups(cards, least).join(span, "entity").filter(F.timestamp_diff("SECOND", "a", "b") <= days * 86400)
+    cards = cards.unionByName(_pairs(links, ["SIM_IN_HANDSET"], "src", "dst")).filter((kind_of("entity") == "IMEI") & (kind_of("member") == "IMSI"))
+    phones = _pairs(links, ["USES_HANDSET"], "dst", "src").filter((kind_of("entity") == "IMEI") & (kind_of("member") == "PHONE"))
+    seen = sightings.filter("ts is not null").withColumnRenamed("node", "member")
+    span = cards.unionByName(phones).distinct().join(seen, "member").groupBy("entity").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    counted = cards.unionByName(phones.join(cards.select("entity").distinct(), "entity", "left_anti"))
+    g = _groups(counted, least).join(span, "entity", "left").filter(F.coalesce(F.timestamp_diff("SECOND", "a", "b") <= days * 86400, F.lit(True)))
     return _finding(g, "SIM-VELOCITY", _grade(F.col("n"), 4, "CRITICAL", "HIGH"), "HIGH", _grade(F.col("n"), 4, 22, 16))
 
 
