@@ -114,6 +114,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_components_of_long_chains_end_in_logarithmic_rounds(spark, monkeypatch, limit):
+    from tracewell import storage
+    from tracewell.operators import components
+
+    n = 2000
+    chains = [list(range(1, n + 1)), list(range(2 * n, n, -1)), random.Random(1).sample(range(2 * n + 1, 3 * n + 1), n)]
+    edges = [e for c in chains for e in zip(c, c[1:], strict=False)]
+    edges += [(3 * n + n // 2, 3 * n + i) for i in range(1, n + 1)] + [(4 * n + a, 4 * n + b) for a in range(1, 61) for b in range(1, a)]
+    rounds = []
+    pointers = components._pointers
+    monkeypatch.setattr(components, "_pointers", lambda e, k: rounds.append(k) or pointers(e, k))
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", limit)
+    got = sorted((r.node, r.component) for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
+    assert got == [(i, (i - 1) // n * n + 1) for i in range(1, 4 * n + 61)]
+    assert len(rounds) <= 26  # 2 log2 of the nodes
+
+
 @pytest.mark.parametrize(("f", "value", "want"), [
     (N.norm_msisdn, "+91 98765 43210", "9876543210"), (N.norm_msisdn, "09876543210", "9876543210"), (N.norm_msisdn, "vm-SBIINB", "VM-SBIINB"), (N.norm_msisdn, "1930", "1930"), (N.norm_msisdn, "", None),
     (N.parse_amount, "Rs. 4,85,000.00 Dr", -485000.0), (N.parse_amount, "(500)", -500.0), (N.parse_amount, "₹ 99", 99.0), (N.parse_amount, "NA", None),

@@ -1,17 +1,20 @@
 """Tables written to the folder that driver and executors share.
 
 A table written and read again cuts the lineage of a plan and survives the loss of
-executors.  The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-unset, as in tests, a folder of this machine is taken.
+executors.  The folder is the cluster's ``spark.checkpoint.dir``; where that is unset a
+folder of this machine is taken if Spark runs in this one process, as in tests, and an error
+raised if it doesn't.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 << 20
 _own: dict[str, str] = {}
@@ -21,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="tracewell-"))
     return found.rstrip("/")
@@ -62,8 +67,36 @@ def _file_system(spark, path, act):
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a materialized ``right``: broadcast while it is at most ``BROADCAST_BYTES``, shuffled beyond."""
-    return left.join(F.broadcast(right) if bytes_of(right) <= BROADCAST_BYTES else right, on, how)
+    """Join with a materialized ``right``: broadcast while it is small, shuffled beyond."""
+    return left.join(F.broadcast(right) if is_small(right) else right, on, how)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a materialized frame may be broadcast: by its files' bytes, and by rows times width, as files are compressed."""
+    if bytes_of(df) > BROADCAST_BYTES:
+        return False
+    if any(isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType) for f in df.schema.fields):
+        return bytes_of(df) * 8 <= BROADCAST_BYTES
+    return df.count() * sum(24 if isinstance(f.dataType, T.StringType) else 8 for f in df.schema.fields) <= BROADCAST_BYTES
+
+
+def follow(rows: DataFrame, on: str, step: DataFrame) -> DataFrame:
+    """``rows`` with each value of column ``on`` replaced by what the materialized ``step`` (``node, to``) has for it, if anything.
+
+    Beyond the size of a broadcast the rows of values with over a thousandth of all rows
+    (so at most a thousand values) stay where they are, and only the others are shuffled.
+    """
+    names = rows.columns
+    renamed = step.select(F.col("node").alias(on), F.col("to").alias("_to"))
+
+    def moved(some: DataFrame, by: DataFrame) -> DataFrame:
+        return some.join(by, on, "left").select(*(F.coalesce("_to", on).alias(c) if c == on else c for c in names))
+
+    if is_small(step):
+        return moved(rows, F.broadcast(renamed))
+    many = max(1, rows.count())
+    hot = F.broadcast(rows.groupBy(on).count().filter(F.col("count") * 1000 > many).select(on))
+    return moved(rows.join(hot, on, "left_semi"), F.broadcast(renamed.join(hot, on, "left_semi"))).unionByName(moved(rows.join(hot, on, "left_anti"), renamed))
 
 
 def join_groups(left: DataFrame, groups: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
