@@ -151,7 +151,60 @@ def test_ngram_components(docs, rows, none, k, num, small, monkeypatch):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, k, num).collect()), key=str)
     assert got == want
     if k == 5:
-        assert ngram_join.ngram_components(none).count() == 0 and ngram_join.keep_one(docs).columns == docs.columns
+        assert ngram_join.ngram_components(none).count() == 0 and ngram_join.keep_one(none).count() == 0
+        kept = ngram_join.keep_one(docs)
+        left = [(r.doc_id, r.text) for r in kept.collect()]
+        of = {}
+        for a, (i, t, _) in enumerate(rows):
+            if sets[a]:
+                of.setdefault(root(a), []).append((i is None, i or 0, t))
+        assert kept.columns == docs.columns and sorted((i or 0, t) for i, t in left if WORD.search(t or "")) == sorted((i, t) for _, i, t in map(min, of.values()))
+        assert len(left) == len(of) + sum(not s for s in sets)
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c d e f g")] * 5 + [(2, "a b c d e f g"), (None, "p q r s t u v"), (None, "p q r s t u v"), (3, None), (3, "")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_uid", F.lit(1)).withColumn("n", F.lit(2)))
+    assert sorted(((r.doc_id, r.text, r._uid, r.n) for r in got.collect()), key=str) == sorted([(1, "a b c d e f g", 1, 2), (None, "p q r s t u v", 1, 2), (3, None, 1, 2), (3, "", 1, 2)], key=str)
+
+
+@pytest.mark.parametrize("wide", [2048, 4])
+def test_ngram_groups_of_near_copies_cross_blocks(spark, wide, monkeypatch):
+    for name, value in (("SMALL", 6), ("BLOCK", 4), ("PIVOTS", 2), ("WIDE", wide)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    other = [f"v{rnd.randrange(10**6)}" for _ in range(8)]
+    texts = []
+    for i in range(90):
+        w = list(base) if i < 60 else base + other
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    assert got == dict(enumerate(comp))
+
+
+def test_signatures_never_differ_more_than_sets():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 400, rnd.integers(0, 300)).astype(np.uint64)) for _ in range(30)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sig = ngram_join.signatures(np.concatenate(sets), at)
+    for a in range(30):
+        for b in range(30):
+            apart = sum(int(np.bitwise_count((s[a] ^ s[b]).view(np.uint64))) for s in sig)
+            assert apart <= len(np.setxor1d(sets[a], sets[b])) and (a != b or not apart)
 
 
 def test_line_dedup(docs, rows, none):
