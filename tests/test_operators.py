@@ -127,9 +127,14 @@ def test_components_of_long_chains_end_in_logarithmic_rounds(spark, monkeypatch,
     pointers = components._pointers
     monkeypatch.setattr(components, "_pointers", lambda e, k: rounds.append(k) or pointers(e, k))
     monkeypatch.setattr(storage, "BROADCAST_BYTES", limit)
+    if not limit:  # as if each task read few edges
+        stars = components._stars
+        monkeypatch.setattr(components, "_stars", lambda e: stars(e, 10))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
     got = sorted((r.node, r.component) for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
     assert got == [(i, (i - 1) // n * n + 1) for i in range(1, 4 * n + 61)]
     assert len(rounds) <= 26  # 2 log2 of the nodes
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @pytest.mark.parametrize(("f", "value", "want"), [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from tracewell.storage import discard, follow, join_checked, join_groups, materi
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for each node of ``edges``; a component's id is its smallest node.
 
-    Every round ranks the nodes anew by a hash; each node points to its neighbour of least
+    First each task replaces the edges it reads by stars that join the same nodes.  Then every round
+    ranks the nodes, first as they are, later anew by a hash; each node points to its neighbour of least
     rank if that is below its own, pointers jump twice, and the graph is contracted along
     them.  A node with a neighbour is a least one with a chance of at most a half, so a round
     leaves half of the nodes at most on average, whatever the graph's shape: chains, stars
@@ -22,17 +24,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     first = materialize(ends.distinct())
-    left, steps = first, []
+    left, steps = materialize(_stars(first)), []
     while left.filter("u <> v").limit(1).count():
         step = materialize(_pointers(left, len(steps)))
         ends = follow(follow(left.filter("u <> v"), "u", step), "v", step).filter("u <> v")
         new = materialize(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         steps.append(step)
-        if left is not first:
-            discard(left)
-        left = new
-    if left is not first:
         discard(left)
+        left = new
+    discard(left)
     # each step leads to nodes that a later one may move; a node that others point to may move twice, to one root
     roots = None
     for step in reversed(steps):
@@ -52,11 +52,43 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return out
 
 
+def _stars(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Edges that join the same nodes, ``most`` edges at a time: each node but the smallest of a group with that one."""
+
+    def run(batches):
+        parent: dict = {}
+        seen, schema = 0, None
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def found():
+            nodes = [x for x in parent if root(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], schema[0].type), pa.array(nodes, schema[0].type)], names=["u", "v"])
+
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            seen += batch.num_rows
+            if seen >= most:
+                yield found()
+                parent, seen = {}, 0
+        if schema is not None:
+            yield found()
+
+    return edges.filter("u <> v").mapInArrow(run, edges.schema)
+
+
 def _pointers(edges: DataFrame, turn: int) -> DataFrame:
     """``node, to`` of each node that a neighbour outranks this turn, after two jumps."""
 
     def rank(c: str) -> Column:
-        return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))
+        return F.struct((F.xxhash64(F.col(c), F.lit(turn)) if turn else F.lit(0)).alias("h"), F.col(c).alias("n"))
 
     ranked = edges.filter("u <> v").select(F.least(rank("u"), rank("v")).alias("low"), F.greatest(rank("u"), rank("v"))["n"].alias("node"))
     near = materialize(ranked.groupBy("node").agg(F.min("low")["n"].alias("to")))

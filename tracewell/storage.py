@@ -77,7 +77,9 @@ def is_small(df: DataFrame) -> bool:
         return False
     if any(isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType) for f in df.schema.fields):
         return bytes_of(df) * 8 <= BROADCAST_BYTES
-    return df.count() * sum(24 if isinstance(f.dataType, T.StringType) else 8 for f in df.schema.fields) <= BROADCAST_BYTES
+    if not hasattr(df, "_tracewell_rows"):
+        df._tracewell_rows = df.count()
+    return df._tracewell_rows * sum(24 if isinstance(f.dataType, T.StringType) else 8 for f in df.schema.fields) <= BROADCAST_BYTES
 
 
 def follow(rows: DataFrame, on: str, step: DataFrame) -> DataFrame:
