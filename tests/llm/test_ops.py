@@ -241,22 +241,71 @@ def vocabulary():
         return sentencepiece.load(f.read())
 
 
-def test_viterbi_is_optimal(vocabulary):
+def best_score(v, keys, word):
+    """The score of the best segmentation, by trying every pair of character boundaries."""
+    chars = [0]
+    for c in word.decode():
+        chars.append(chars[-1] + len(c.encode()))
+    best = {0: 0.0} | dict.fromkeys(chars[1:], -np.inf)
+    for j, e in enumerate(chars[1:], 1):
+        for i in range(max(0, j - v.longest - 1), j):
+            s = chars[i]
+            score = v.scores[keys[word[s:e]]] if word[s:e] in keys else v.unknown_score if i == j - 1 else -np.inf
+            best[e] = max(best[e], best[s] + score)
+    return best[len(word)]
+
+
+def score_of(v, keys, word, ids):
+    raw = sum(v.scores[i] for i in ids if i not in set(v.byte_ids.tolist()))
+    return raw + v.unknown_score * sum(1 for c in word.decode() if c.encode() not in keys)
+
+
+@pytest.fixture(scope="module")
+def piece_keys(vocabulary):
     v = vocabulary
-    keys = {v.surface[v.starts[i] : v.starts[i + 1]].tobytes(): i for i in range(259, len(v.scores)) if v.starts[i + 1] > v.starts[i]}
-    for w in (b" the", b" threading", " élève".encode(), b"with", " 日x".encode()):
-        best = {0: 0.0}
-        chars = [0]
-        for c in w.decode():
-            chars.append(chars[-1] + len(c.encode()))
-        for a, s in enumerate(chars):
-            for e in chars[a + 1 :]:
-                score = v.scores[keys[w[s:e]]] if w[s:e] in keys else v.unknown_score if e == chars[a + 1] else None
-                if score is not None:
-                    best[e] = max(best.get(e, -np.inf), best[s] + score)
+    return {v.surface[v.starts[i] : v.starts[i + 1]].tobytes(): i for i in range(259, len(v.scores)) if v.starts[i + 1] > v.starts[i]}
+
+
+def test_viterbi_is_optimal(vocabulary, piece_keys):
+    v = vocabulary
+    assert np.exp([v.scores[i] for i in piece_keys.values()]).sum() == pytest.approx(1)
+    for w in (b" the", b" threading", " élève".encode(), b"with", " 日x".encode(), b" " * 40, "日本語のテキスト😀".encode() * 5, b"YWJjZGVmZ2hpamtsbW5vcA==" * 4):
         ids, _ = sentencepiece.viterbi(v, [w])
-        raw = sum(v.scores[i] for i in ids if i not in set(v.byte_ids))
-        assert raw + v.unknown_score * sum(1 for c in w.decode() if c.encode() not in keys) == pytest.approx(best[len(w)])
+        assert score_of(v, piece_keys, w, ids) == pytest.approx(best_score(v, piece_keys, w))
+        assert (ids == sentencepiece.viterbi_long(v, w)).all()
+
+
+@pytest.mark.parametrize("window", [1 << 18, 40])
+def test_viterbi_of_whole_texts_is_optimal(vocabulary, piece_keys, window, monkeypatch):
+    monkeypatch.setattr(sentencepiece, "WINDOW", window)
+    encoder = sentencepiece.Encoder(vocabulary)
+    for t in [t.encode() for t in texts() if t][:60:3] + ["naïve 日本 " .encode() * 30 + "x▁y\n".encode() * 9]:
+        ids, _ = encoder.encode([t])
+        whole = b" " + t.replace("▁".encode(), b"")  # the marker itself has no piece here
+        if "▁".encode() not in t:
+            assert score_of(vocabulary, piece_keys, whole, ids) == pytest.approx(best_score(vocabulary, piece_keys, whole))
+        assert (sentencepiece.viterbi_long(vocabulary, b" " + t) == ids).all()
+
+
+def test_scores_of_unigram_models_stay(vocabulary):
+    own = np.log([0.5, 0.25, 0.25])
+    assert (sentencepiece.log_scores(own, np.arange(3)) == own).all()
+
+
+def test_long_texts_without_spaces(vocabulary):
+    import time
+
+    rnd = random.Random(3)
+    began = time.process_time()
+    t = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz日本語é", k=60_000)).encode()
+    ids, starts = sentencepiece.Encoder(vocabulary).encode([t, b"", t[:50]])
+    assert time.process_time() - began < 5 and sentencepiece.decode(vocabulary, ids, starts)[:2] == [t, b""]
+
+
+def test_decode_skips_control_pieces(vocabulary):
+    ids, starts = sentencepiece.Encoder(vocabulary).encode([b"some text"])
+    wrapped = np.concatenate([[1], ids, [2, 0]])
+    assert sentencepiece.decode(vocabulary, wrapped, np.array([0, len(wrapped), len(wrapped)])) == [b"some text", b""]
 
 
 def test_sentencepiece_round_trip(docs, rows, none, vocabulary):

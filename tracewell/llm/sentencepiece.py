@@ -1,9 +1,16 @@
 """SentencePiece encoding and decoding: a unigram Viterbi over a double-array trie.
 
+A unigram model's file has a log probability for each piece, and these are used.  A merge model's
+has the pieces in order of their merges, most frequent first, and no probabilities; these follow
+from the rank by Zipf's law, log p = -log(rank) - log(sum of all 1 / rank), so nothing is
+trained and no pass over the corpus is needed.
+
 The trie holds the bytes of all pieces, with the whitespace marker as a plain space.  No piece goes on
 over a space or a line's end, so a text falls into chunks whose best segmentations are
 independent; each distinct chunk of a batch is segmented once, all of them side by side:
-position by position, every chunk walks the trie and relaxes the ends of its pieces.
+position by position, every chunk walks the trie and relaxes the ends of its pieces.  In a
+long chunk, such as a text without spaces, all positions of a window walk the trie side by side, and
+one pass over the pieces found relaxes their ends; time is linear and memory a few bytes a byte.
 Characters without a piece fall back to the pieces of their bytes.  Decoding joins the
 pieces' bytes.  A marker character that stands in the text itself falls back to bytes, so
 that decoding restores every text exactly.
@@ -12,6 +19,7 @@ that decoding restores every text exactly.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +33,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_COST = 10.0
 CACHED = 200_000
+CACHED_BYTES = 32 << 20
+LONG = 96
+WINDOW = 1 << 18
 _CHUNK = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 _CHUNK_OPEN = re.compile(rb"(?s).+")
 
@@ -49,6 +60,7 @@ class Vocabulary:
     unknown_id: int
     dummy_prefix: bool
     parted: bool
+    longest: int
 
 
 def build_trie(keys: dict[bytes, int]) -> Trie:
@@ -100,7 +112,7 @@ def build_trie(keys: dict[bytes, int]) -> Trie:
 
 
 def load(model: bytes, dummy_prefix: bool = True) -> Vocabulary:
-    """The vocabulary of a serialized SentencePiece model, with its own scores."""
+    """The vocabulary of a serialized SentencePiece model, with log scores: its own, or, of a merge model, those by rank."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -118,10 +130,20 @@ def load(model: bytes, dummy_prefix: bool = True) -> Vocabulary:
             raw = piece.replace(MARK, " ").encode()
             keys[raw] = i
         surface.append(raw)
+    scores = log_scores(scores, np.array(sorted(keys.values()), np.int64))
     parted = not any(re.search(rb"[^ ] |\n.|.\n", k) for k in keys)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in surface])])
     least = min((scores[i] for i in keys.values()), default=0.0)
-    return Vocabulary(build_trie(keys), scores, byte_ids, np.frombuffer(b"".join(surface), np.uint8), starts, least - UNKNOWN_COST, sp.unk_id(), dummy_prefix, parted)
+    return Vocabulary(build_trie(keys), scores, byte_ids, np.frombuffer(b"".join(surface), np.uint8), starts, least - UNKNOWN_COST, sp.unk_id(), dummy_prefix, parted, max(map(len, keys), default=1))
+
+
+def log_scores(scores: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """``scores`` as they are where those of ``pieces`` are log probabilities, which sum to about 1; else by the pieces' rank."""
+    if not len(pieces) or 0.5 < np.exp(scores[pieces]).sum() < 1.5:
+        return scores
+    out, rank = scores.copy(), np.arange(1, len(pieces) + 1)
+    out[pieces] = -np.log(rank) - np.log((1 / rank).sum())
+    return out
 
 
 def viterbi(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +208,61 @@ def viterbi(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
 
 
+def _edges(v: Vocabulary, buf: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``start, length, id`` of all pieces that begin in ``buf[lo:hi]``, in order; id -1 for a character that is no piece."""
+    base, check, value = v.trie.base, v.trie.check, v.trie.value
+    head = buf[lo:hi]
+    char = np.where(head < 0x80, 1, np.where(head < 0xC0, 0, np.where(head < 0xE0, 2, np.where(head < 0xF0, 3, 4))))
+    live = np.flatnonzero(char)
+    char = np.minimum(char, len(buf) - lo - np.arange(hi - lo))
+    alone = np.zeros(hi - lo, bool)
+    node, d, found = np.zeros(len(live), np.int64), 0, []
+    while len(live):
+        inside = live + lo + d < len(buf)
+        live, node = live[inside], node[inside]
+        step = base[node] + buf[live + lo + d]
+        ok = (base[node] >= 0) & (check[step] == node)
+        live, node = live[ok], step[ok]
+        d += 1
+        got = value[node] >= 0
+        at = live[got]
+        alone[at[char[at] == d]] = True
+        found.append((at, np.full(len(at), d), value[node[got]]))
+    rest = np.flatnonzero(~alone & (char > 0))
+    found.append((rest, char[rest], np.full(len(rest), -1)))
+    start, length, ids = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.argsort(start, kind="stable")
+    return start[order], length[order], ids[order]
+
+
+def viterbi_long(v: Vocabulary, word: bytes) -> np.ndarray:
+    """The best pieces of one long word; the same as ``viterbi`` finds, which relaxes in the same order."""
+    n, reach = len(word), max(4, v.longest)
+    buf = np.frombuffer(word, np.uint8).astype(np.int64)
+    back, piece = bytearray(n + 1), array("i", bytes(4 * (n + 1)))  # no piece of a file is longer than 255 bytes
+    best = [0.0] + [-np.inf] * (WINDOW + reach)
+    scores = np.append(v.scores, v.unknown_score)
+    for lo in range(0, n, WINDOW):
+        start, length, ids = _edges(v, buf, lo, min(lo + WINDOW, n))
+        for s, d, i, x in zip(start.tolist(), length.tolist(), ids.tolist(), scores[ids].tolist(), strict=True):
+            x += best[s]
+            if x > best[s + d]:
+                best[s + d] = x
+                back[lo + s + d], piece[lo + s + d] = d, i
+        best = best[WINDOW:] + [-np.inf] * WINDOW
+    out = []
+    while n:
+        d, i = back[n], piece[n]
+        if i >= 0:
+            out.append(i)
+        else:
+            out += [int(v.byte_ids[b]) for b in reversed(word[n - d : n])]
+        n -= d
+    return np.array(out[::-1], np.int32)
+
+
 class Encoder:
-    """Encodes texts; keeps the segmentations of the last ``CACHED`` distinct chunks or so."""
+    """Encodes texts; keeps the segmentations of the last ``CACHED`` distinct chunks, or ``CACHED_BYTES``, or so."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.split = v, (_CHUNK if v.parted else _CHUNK_OPEN)
@@ -195,11 +270,12 @@ class Encoder:
 
     def _clear(self):
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.starts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, where each text's begin)``; an empty text has no ids."""
-        if len(self.known) > CACHED:
+        if len(self.known) > CACHED or self.held > CACHED_BYTES:
             self._clear()
         chunks, count = [], []
         prefix = b" " if self.v.dummy_prefix else b""
@@ -213,10 +289,16 @@ class Encoder:
         new = sorted({c for c in chunks if c not in known}, key=len)
         lo = 0
         while lo < len(new):
-            hi, size = lo, 0
-            while hi < len(new) and (hi == lo or (len(new[hi]) + 8) * (hi - lo + 1) <= 2_000_000):
+            hi = lo
+            while hi < len(new) and len(new[hi]) <= LONG and (hi == lo or (len(new[hi]) + 8) * (hi - lo + 1) <= 2_000_000):
                 hi += 1
-            ids, starts = viterbi(self.v, new[lo:hi])
+            if hi > lo:
+                ids, starts = viterbi(self.v, new[lo:hi])
+            else:
+                hi = lo + 1
+                ids = viterbi_long(self.v, new[lo])
+                starts = np.array([0, len(ids)])
+            self.held += sum(map(len, new[lo:hi]))
             done = self.starts[-1][-1]
             self.ids.append(ids)
             self.starts.append(starts[1:] + done)
