@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,25 @@ def clear(spark: SparkSession) -> None:
     _file_system(spark, home(spark), lambda fs, p: fs.delete(p, True))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it."""
+def materialize(df: DataFrame, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with a folder for each value of ``folders``, and return a frame that reads it."""
     path = f"{home(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    return _read(df.sparkSession, df.schema, path)
+
+
+def materialize_all(frames: Iterable[DataFrame]) -> DataFrame:
+    """Write frames with one schema, one after the other, and return one frame that reads them all."""
+    path, schema = None, None
+    for i, df in enumerate(frames):
+        path = path or f"{home(df.sparkSession)}/{uuid.uuid4().hex}"
+        spark, schema = df.sparkSession, df.schema
+        df.write.parquet(f"{path}/{i}")
+    return _read(spark, schema, path, recursiveFileLookup=True)
+
+
+def _read(spark: SparkSession, schema: T.StructType, path: str, **options) -> DataFrame:
+    out = spark.read.schema(schema).options(**options).parquet(path)
     out._tracewell_path = path
     return out
 
@@ -101,12 +116,12 @@ def follow(rows: DataFrame, on: str, step: DataFrame) -> DataFrame:
     return moved(rows.join(hot, on, "left_semi"), F.broadcast(renamed.join(hot, on, "left_semi"))).unionByName(moved(rows.join(hot, on, "left_anti"), renamed))
 
 
-def join_groups(left: DataFrame, groups: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
-    """Join rows to a table with one row per key, whose ``size`` column counts the key's rows in ``left``.
+def join_groups(left: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per key (one column or several), whose ``size`` column counts the key's rows in ``left``.
 
     Keys with over a thousandth of ``total`` rows (so at most a thousand of them) are
     broadcast, and their rows stay where they are; only the others are shuffled.
     """
     hot = F.broadcast(groups.filter(F.col(size) * 1000 > total))
     cold = groups.filter(F.col(size) * 1000 <= total)
-    return left.join(hot, on).unionByName(left.join(hot.select(on), on, "left_anti").join(cold, on, how), allowMissingColumns=True)
+    return left.join(hot, on).unionByName(left.join(hot.select(*([on] if isinstance(on, str) else on)), on, "left_anti").join(cold, on, how), allowMissingColumns=True)
