@@ -124,6 +124,29 @@ def test_exact_dedup(docs, rows, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_keeps_the_longest_of_rows_with_one_id(spark):
+    rows = spark.createDataFrame([(1, "a  b"), (1, "ab"), (2, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows).collect()) == [(1, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False)]
+
+
+@pytest.mark.parametrize(("most", "segment"), [(1 << 28, 1 << 20), (1 << 16, 1 << 12)])
+def test_repeated_keys_pass_every_filter_and_few_others(spark, most, segment, monkeypatch):
+    from tracewell.llm import bloom
+
+    for name, value in (("MAX_BITS", most), ("SEGMENT", segment), ("HELD", 700)):
+        monkeypatch.setattr(bloom, name, value)
+    texts = [f"text {i}" for i in range(20_000)] + [f"text {i}" for i in range(0, 20_000, 100)] + ["hot"] * 5000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    shards, bits = bloom.size_for(len(texts))
+    assert shards == (7 if most == 1 << 16 else 1)
+    tested = exact_dedup._tested(exact_dedup.hashed(docs).withColumn("_key", F.xxhash64("text_sha256")), shards, bits).collect()
+    again = [r for r in tested if r.doc_id >= 20_000 or r.doc_id % 100 == 0]
+    assert len(tested) == len(texts) and all(r._maybe for r in again)
+    assert sum(r._maybe for r in tested) - len(again) < 0.05 * 19_800
+    groups = exact_dedup.exact_dedup(docs)
+    assert groups.filter("kept").count() == 20_001 and groups.agg(F.max("group_size")).first()[0] == 5000
+
+
 @pytest.mark.parametrize(("k", "num", "small"), [(3, 90, 64), (5, 80, 64), (3, 90, 3)])
 def test_ngram_components(docs, rows, none, k, num, small, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", small)
@@ -207,7 +230,10 @@ def test_signatures_never_differ_more_than_sets():
             assert apart <= len(np.setxor1d(sets[a], sets[b])) and (a != b or not apart)
 
 
-def test_line_dedup(docs, rows, none):
+@pytest.mark.parametrize(("reach", "batch"), [(16, 10_000), (5, 7)])
+def test_line_dedup(spark, docs, rows, none, reach, batch, monkeypatch):
+    monkeypatch.setattr(line_dedup, "REACH", reach)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     got = sorted(((r.doc_id, r.text) for r in line_dedup.line_dedup(docs, 20).collect()), key=str)
     order = sorted({(i is None, i or 0, t or "") for i, t, _ in rows})
     seqs = [[(n, " ".join(x.split())) for n, x in enumerate(t.encode().decode().split("\n")) if x.split()] for _, _, t in order]
@@ -229,7 +255,8 @@ def test_line_dedup(docs, rows, none):
         out[order[d]] = text if not gone else "" if len(gone) == len(lines) else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in cut)
     want = sorted(((i, None if t is None else out[(i is None, i or 0, t)]) for i, t, _ in rows), key=str)
     assert got == want and any(a != b for (_, a), (_, b) in zip(got, sorted(((i, t) for i, t, _ in rows), key=str), strict=True))
-    assert line_dedup.line_dedup(none).count() == 0
+    assert line_dedup.line_dedup(none, 20).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     clash = docs.withColumn("_lines", F.lit(7))
     kept = line_dedup.without_repeats(clash, 20)
     assert kept.columns == clash.columns and {(r._uid, r._lines) for r in kept.collect()} == {("u", 7), (None, 7)}
@@ -241,6 +268,30 @@ def vocabulary():
         return sentencepiece.load(f.read())
 
 
+def test_ranks_are_those_of_the_sorted_suffixes(spark):
+    rnd = random.Random(8)
+    texts = ["\n".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40))) for _ in range(12)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, uid long, text string")
+    active, starts = line_dedup.suffix_ranks(line_dedup._lines(docs).repartition(3).transform(line_dedup.materialize))
+    found = {(r.uid, r.line): (r.place, r.rank) for r in active.collect()}
+    none = spark.createDataFrame([], "place long, lines long, uid long, line long")
+    h = 1
+    while h < 16:
+        blocks = {}
+        for (d, i) in found:
+            block = texts[d].split("\n")[i : i + h]
+            blocks.setdefault(tuple(block), []).append(found[d, i][1])
+        assert all(len(set(r)) == 1 for r in blocks.values()) and len({r[0] for r in blocks.values()}) == len(blocks)
+        pairs = line_dedup._paired(active.select("place", "rank"), none, h.bit_length() - 1)
+        groups = line_dedup.materialize(line_dedup.numbered(pairs.groupBy("left", "right").agg(F.count("*").alias("n")).filter("n > 1"), ["left", "right"], "rank"))
+        joined = pairs.join(groups, ["left", "right"]).collect()
+        assert [r.rank for r in sorted(joined, key=lambda r: (r.left, r.right, r.place))] == sorted(r.rank for r in joined)
+        active = line_dedup.materialize(spark.createDataFrame([(r.place, r.rank) for r in joined], "place long, rank long"))
+        by_place = {r.place: r.rank for r in joined}
+        found = {k: (p, by_place[p]) for k, (p, _) in found.items() if p in by_place}
+        h *= 2
+
+
 def best_score(v, keys, word):
     """The score of the best segmentation, by trying every pair of character boundaries."""
     chars = [0]
