@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.storage import discard, follow, join_checked, join_groups, materialize
+from tracewell.storage import discard, follow, join_checked, join_groups, materialize, rows_of
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -25,9 +25,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     first = materialize(ends.distinct())
     left, steps = materialize(_stars(first)), []
-    while left.filter("u <> v").limit(1).count():
+    while rows_of(left):
         step = materialize(_pointers(left, len(steps)))
-        ends = follow(follow(left.filter("u <> v"), "u", step), "v", step).filter("u <> v")
+        ends = follow(follow(left, "u", step), "v", step).filter("u <> v")
         new = materialize(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         steps.append(step)
         discard(left)
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         return nodes.withColumn("component", F.col("node"))
     named = materialize(join_checked(nodes, roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")))
     least = materialize(named.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size")))
-    out = materialize(join_groups(named, least, "root", "size", max(1, named.count())).select("node", "component"))
+    out = materialize(join_groups(named, least, "root", "size", rows_of(named)).select("node", "component"))
     for used in (first, roots, named, least):
         discard(used)
     return out
@@ -90,6 +90,6 @@ def _pointers(edges: DataFrame, turn: int) -> DataFrame:
     def rank(c: str) -> Column:
         return F.struct((F.xxhash64(F.col(c), F.lit(turn)) if turn else F.lit(0)).alias("h"), F.col(c).alias("n"))
 
-    ranked = edges.filter("u <> v").select(F.least(rank("u"), rank("v")).alias("low"), F.greatest(rank("u"), rank("v"))["n"].alias("node"))
+    ranked = edges.select(F.least(rank("u"), rank("v")).alias("low"), F.greatest(rank("u"), rank("v"))["n"].alias("node"))
     near = materialize(ranked.groupBy("node").agg(F.min("low")["n"].alias("to")))
     return follow(follow(near, "to", near), "to", near)

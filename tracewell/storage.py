@@ -11,9 +11,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,23 +45,40 @@ def clear(spark: SparkSession) -> None:
 def materialize(df: DataFrame, *folders: str) -> DataFrame:
     """Write ``df`` to the shared folder, with a folder for each value of ``folders``, and return a frame that reads it."""
     path = f"{home(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*folders).parquet(path)
-    return _read(df.sparkSession, df.schema, path)
+    return _read(df, path, _write(df, path, folders))
 
 
 def materialize_all(frames: Iterable[DataFrame]) -> DataFrame:
     """Write frames with one schema, one after the other, and return one frame that reads them all."""
-    path, schema = None, None
+    path, rows, df = None, 0, None
     for i, df in enumerate(frames):
         path = path or f"{home(df.sparkSession)}/{uuid.uuid4().hex}"
-        spark, schema = df.sparkSession, df.schema
-        df.write.parquet(f"{path}/{i}")
-    return _read(spark, schema, path, recursiveFileLookup=True)
+        rows += _write(df, f"{path}/{i}", ())
+    return _read(df, path, rows, recursiveFileLookup=True)
 
 
-def _read(spark: SparkSession, schema: T.StructType, path: str, **options) -> DataFrame:
-    out = spark.read.schema(schema).options(**options).parquet(path)
-    out._tracewell_path = path
+def _write(df: DataFrame, path: str, folders: Sequence[str]) -> int:
+    """Write ``df`` and return its number of rows, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*folders).parquet(path)
+    return seen.get["rows"]
+
+
+def _read(df: DataFrame, path: str, rows: int, **options) -> DataFrame:
+    out = df.sparkSession.read.schema(df.schema).options(**options).parquet(path)
+    out._tracewell_path, out._tracewell_rows = path, rows
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """Rows of a frame that ``materialize`` returned."""
+    return df._tracewell_rows
+
+
+def named_as(df: DataFrame, columns: list) -> DataFrame:
+    """Some columns of a frame that ``materialize`` returned, whose size is still known."""
+    out = df.select(*columns)
+    out._tracewell_path, out._tracewell_rows = df._tracewell_path, df._tracewell_rows
     return out
 
 
@@ -92,9 +109,7 @@ def is_small(df: DataFrame) -> bool:
         return False
     if any(isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType) for f in df.schema.fields):
         return bytes_of(df) * 8 <= BROADCAST_BYTES
-    if not hasattr(df, "_tracewell_rows"):
-        df._tracewell_rows = df.count()
-    return df._tracewell_rows * sum(24 if isinstance(f.dataType, T.StringType) else 8 for f in df.schema.fields) <= BROADCAST_BYTES
+    return rows_of(df) * sum(64 if isinstance(f.dataType, T.StringType) else 8 for f in df.schema.fields) <= BROADCAST_BYTES
 
 
 def follow(rows: DataFrame, on: str, step: DataFrame) -> DataFrame:
@@ -111,7 +126,7 @@ def follow(rows: DataFrame, on: str, step: DataFrame) -> DataFrame:
 
     if is_small(step):
         return moved(rows, F.broadcast(renamed))
-    many = max(1, rows.count())
+    many = rows.count()
     hot = F.broadcast(rows.groupBy(on).count().filter(F.col("count") * 1000 > many).select(on))
     return moved(rows.join(hot, on, "left_semi"), F.broadcast(renamed.join(hot, on, "left_semi"))).unionByName(moved(rows.join(hot, on, "left_anti"), renamed))
 
@@ -119,9 +134,12 @@ def follow(rows: DataFrame, on: str, step: DataFrame) -> DataFrame:
 def join_groups(left: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows to a table with one row per key (one column or several), whose ``size`` column counts the key's rows in ``left``.
 
-    Keys with over a thousandth of ``total`` rows (so at most a thousand of them) are
-    broadcast, and their rows stay where they are; only the others are shuffled.
+    The materialized ``groups`` are broadcast while they are small.  Beyond that keys with over a
+    thousandth of ``total`` rows (so at most a thousand of them) are broadcast, and their
+    rows stay where they are; only the others are shuffled.
     """
+    if is_small(groups):
+        return left.join(F.broadcast(groups), on, how)
     hot = F.broadcast(groups.filter(F.col(size) * 1000 > total))
     cold = groups.filter(F.col(size) * 1000 <= total)
     return left.join(hot, on).unionByName(left.join(hot.select(*([on] if isinstance(on, str) else on)), on, "left_anti").join(cold, on, how), allowMissingColumns=True)
