@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tracewell.llm.columns import fresh
 from tracewell.llm.words import pieces
-from tracewell.storage import discard, join_checked, join_groups, materialize
+from tracewell.storage import discard, join_checked, join_groups, materialize, named_as, rows_of
 
 MIN_WORDS = 50
 REACH = 16
@@ -169,10 +169,10 @@ def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``place, rank, words, uid, line`` of the lines that stand in several places, in order of IDs, and ``doc_id, uid, start`` of their documents."""
     ids = ["high", "low"]
     groups = materialize(numbered(lines.groupBy(*ids).agg(F.count("*").alias("n")).filter("n > 1"), ids, "rank"))
-    again = materialize(join_groups(lines, groups, ids, "n", max(1, lines.count())).select("doc_id", "uid", "line", "words", "rank").distinct())
+    again = materialize(join_groups(lines, groups, ids, "n", rows_of(lines)).select("doc_id", "uid", "line", "words", "rank").distinct())
     sizes = again.groupBy("doc_id", "uid").agg((F.max("line") + 2).alias("size"))  # a gap after each document
     docs = materialize(numbered(sizes, [F.col("doc_id").isNull(), "doc_id", "uid"], "start", "size"))
-    placed = join_checked(again.drop("doc_id"), materialize(docs.select("uid", "start")), "uid")
+    placed = join_checked(again.drop("doc_id"), named_as(docs, ["uid", "start"]), "uid")
     return materialize(placed.select((F.col("start") + F.col("line")).alias("place"), "rank", "words", "uid", "line")), docs
 
 
@@ -196,14 +196,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         found = pairs.filter("lines > 0")
         same = ["left", "right", "lines"]
         intervals = materialize(found.groupBy(*same).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-        later = join_groups(found, intervals, same, "n", max(1, found.count())).filter("place <> first")
+        later = join_groups(found, intervals, same, "n", rows_of(pairs)).filter("place <> first")
         later = later.select("uid", F.struct(F.col("line").alias("first"), (F.col("line") + F.col("lines")).alias("past")).alias("cut"))
         cuts = later if cuts is None else cuts.unionByName(later)
         if level < most:
             halves = pairs.filter("lines = 0").select("place", "left", "right")
             groups = materialize(numbered(halves.groupBy("left", "right").agg(F.count("*").alias("n")).filter("n > 1"), ["left", "right"], "rank"))
             discard(active)
-            active = materialize(join_groups(halves, groups, ["left", "right"], "n", max(1, halves.count())).select("place", "rank"))
+            active = materialize(join_groups(halves, groups, ["left", "right"], "n", rows_of(pairs)).select("place", "rank"))
     if cuts is None:
         return docs.select("uid", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("past"))).alias("cuts")).limit(0)
     return cuts.groupBy("uid").agg(F.collect_set("cut").alias("cuts"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.columns import fresh
 from tracewell.llm.words import mix, pieces, shingles
 from tracewell.operators.components import connected_components
-from tracewell.storage import discard, join_checked, join_groups, materialize
+from tracewell.storage import discard, join_checked, join_groups, materialize, named_as, rows_of
 
 HEAVY = 1 << 18
 SMALL = 64
@@ -301,9 +301,7 @@ def _may_link(num: int, den: int) -> Column:
 
 def _joined(rows: DataFrame, column: str, reps: DataFrame, prefix: str = "") -> DataFrame:
     """``rows`` with size and signature of the class in ``column``."""
-    named = reps.select(F.col("cid").alias(column), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE)))
-    named._tracewell_path = reps._tracewell_path
-    return join_checked(rows, named, column)
+    return join_checked(rows, named_as(reps, [F.col("cid").alias(column), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE))]), column)
 
 
 def _pair_tasks(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -311,7 +309,7 @@ def _pair_tasks(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     labels = materialize(connected_components(pairs, "a", "b"))
     sizes = labels.join(reps.select(F.col("cid").alias("node"), "n"), "node").groupBy("component")
     sizes = materialize(sizes.agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("chunks"), F.count("*").alias("size")))
-    of = join_groups(labels, sizes, "component", "size", max(1, labels.count())).select("node", "component", "chunks")
+    of = join_groups(labels, sizes, "component", "size", rows_of(labels)).select("node", "component", "chunks")
     held = pairs.join(of.withColumnRenamed("node", "a"), "a")
     x, y = (F.pmod(F.xxhash64(F.col(c), F.lit(3)), F.col("chunks")) for c in "ab")
     task = F.xxhash64("component", F.least(x, y), F.greatest(x, y))
@@ -321,7 +319,7 @@ def _pair_tasks(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _hot_tasks(hot: DataFrame) -> DataFrame:
     """Blocks of shingles with many classes: each class in its widest shingle's, and the shingle's pivots in all of them."""
     sizes = materialize(hot.groupBy("key").agg(F.count("*").alias("m")))
-    sized = materialize(join_groups(hot, sizes, "key", "m", max(1, hot.count())))
+    sized = materialize(join_groups(hot, sizes, "key", "m", rows_of(hot)))
     widest = sized.groupBy("cid").agg(F.max(F.struct("m", "key", "block")).alias("w")).select("cid", "w.key", "w.block", "w.m")
     own = materialize(widest.select("key", "block", "cid"))
     pivots = sized.filter(F.col("place") % F.ceil(F.col("m") / PIVOTS) == 0).select("key", "cid")
@@ -337,7 +335,7 @@ def _rest_pairs(hot: DataFrame, links: DataFrame, reps: DataFrame, num: int, den
     per = materialize(named.groupBy("key", "label").agg(F.count("*").alias("size")))
     keys = per.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("m"), F.count("*").alias("labels"))
     keys = materialize(keys.filter("labels > 1").select("key", "main", "m", F.ceil(F.col("m") / WIDE).alias("blocks"), F.ceil((F.col("m") - F.col("most")) / WIDE).alias("parts")))
-    open_ = join_groups(named, keys, "key", "m", max(1, named.count()))
+    open_ = join_groups(named, keys, "key", "m", rows_of(named))
     open_ = materialize(_joined(open_, "cid", reps))
 
     def dealt(rows, side, mine, others):
@@ -397,7 +395,7 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     pairs = materialize(_joined(_joined(pairs, "a", reps, "x_"), "b", reps, "y_").filter(_may_link(num, den)).select("a", "b"))
     hot = materialize(found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"), "block", F.col("least").alias("place")))
     tasks = _pair_tasks(pairs, reps)
-    many = hot.limit(1).count()
+    many = rows_of(hot)
     if many:
         tasks = tasks.unionByName(_hot_tasks(hot))
     links = materialize(_block_links(text, reps, tasks, words, num, den).distinct())
@@ -415,10 +413,10 @@ def _labelled(every: DataFrame, links: DataFrame) -> DataFrame:
     classes = materialize(every.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
     linked = materialize(join_checked(classes, labels, "cid"))
     lows = materialize(linked.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("members")))
-    least = materialize(join_groups(linked, lows, "component", "members", max(1, linked.count())).select("cid", "component", "least"))
+    least = materialize(join_groups(linked, lows, "component", "members", rows_of(linked)).select("cid", "component", "least"))
     named = join_checked(classes, least, "cid", "left")
     named = materialize(named.select("cid", F.coalesce("component", "cid").alias("label"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("low"), "copies"))
-    return join_groups(every.filter("n > 0"), named, "cid", "copies", max(1, every.count()))
+    return join_groups(every.filter("n > 0"), named, "cid", "copies", every.count())
 
 
 def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

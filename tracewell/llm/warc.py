@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.storage import home, join_checked, join_groups, materialize
+from tracewell.storage import home, join_checked, join_groups, materialize, rows_of
 
 CHUNK = 1 << 20
 RUN = 16
@@ -42,7 +42,11 @@ def revisits(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), F.length(payload).alias("n"), F.sha2(payload, 256).alias("digest")).filter(F.col("n") >= REVISIT_FROM).select("page_id", "digest"))
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    return join_groups(rows, materialize(groups), "digest", "copies", max(1, rows.count())).filter("not (page_id <=> first)").select("page_id", "digest", "first").distinct()
+    return join_groups(rows, materialize(groups), "digest", "copies", rows_of(rows)).filter("not (page_id <=> first)").select("page_id", "digest", "first").distinct()
+
+
+def _key() -> F.Column:
+    return F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":"), "digest")
 
 
 def records(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -50,8 +54,8 @@ def records(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\r\\n]", "").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("at"))
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
-    again = materialize(revisits(pages))
-    p = join_checked(p.withColumn("_key", F.xxhash64("page_id", "digest")), materialize(again.select(F.xxhash64("page_id", "digest").alias("_key"), "first", F.lit(True).alias("again"))), "_key", "left")
+    again = materialize(revisits(pages).select(_key().alias("_key"), "first", F.lit(True).alias("again")))
+    p = join_checked(p.withColumn("_key", _key()), again, "_key", "left")
     p = p.withColumn("again", F.coalesce("again", F.lit(False))).withColumn("row", F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest", "at")))
     chunks = p.select("*", F.posexplode(F.when(F.col("again"), F.array(F.lit(b""))).otherwise(to_chunks("payload", chunk))).alias("part", "data")).drop("payload")
     parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / chunk))
