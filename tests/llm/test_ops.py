@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracewell.llm import exact_dedup, fingerprint, line_dedup, mixing, ngram_join, quality, sentencepiece, toxicity, url_filter, warc, words
@@ -403,6 +405,66 @@ def test_url_models_tell_digits_marks_and_long_words_apart(spark):
     assert all(a > b for a, b in zip(allowed, blocked, strict=True)), (allowed, blocked)
 
 
+def cells_of(key, size):
+    h = xxhash.xxh64_intdigest(struct.pack("<i", size), xxhash.xxh64_intdigest(struct.pack("<Q", key), 42))
+    return [(h >> (16 * i) & 0xFFFF) % (size // 3) + i * (size // 3) for i in range(3)]
+
+
+def tables(fingerprint):
+    """Groups of a written fingerprint: lists of [count, digests, checks], or a set of digests."""
+    out = []
+    for group in fingerprint.split(":", 2)[2].split(";"):
+        if group.startswith("="):
+            out.append({int(x, 16) for x in group[1:].split("-") if x})
+        else:
+            out.append([[int(x, 16) for x in c.split(".")] if c else [0, 0, 0] for c in group.split("-")])
+    return out
+
+
+def peeled(cells):
+    """The digests in a table, or None where it is too small."""
+    if isinstance(cells, set):
+        return cells
+    cells, found, more = [list(c) for c in cells], set(), True
+    while more:
+        more = False
+        for c in cells:
+            n, k = c[0], c[1]
+            check = xxhash.xxh64_intdigest(struct.pack("<i", -1), xxhash.xxh64_intdigest(struct.pack("<Q", k), 42)) & 0xFFFFFFFF
+            if abs(n) == 1 and check == c[2]:
+                found.add(k)
+                more = True
+                for j in cells_of(k, len(cells)):
+                    cells[j] = [cells[j][0] - n, cells[j][1] ^ k, cells[j][2] ^ check]
+    return found if all(c == [0, 0, 0] for c in cells) else None
+
+
+def test_likeness_follows_from_the_written_fingerprints_alone(docs):
+    got = fingerprint.fingerprints(docs.filter("doc_id is not null and doc_id <> 3")).orderBy("doc_id").collect()
+    own = [set().union(*map(peeled, tables(r.fingerprint))) for r in got]
+    subtracted = 0
+    for i, r in enumerate(got):
+        edited = set().union(*map(peeled, tables(r.edited_fingerprint)))
+        for other, near in ((edited, r.near_edited), (own[(i + 1) % len(got)], r.near_next)):
+            assert near == pytest.approx(len(own[i] & other) / len(own[i] | other) if own[i] | other else 1)
+        assert int(r.fingerprint.split(":")[0]) == len(own[i])
+        a, b = tables(r.fingerprint), tables(r.edited_fingerprint)
+        if list(map(len, a)) == list(map(len, b)) and not any(isinstance(x, set) for x in a + b):
+            apart = [peeled([[x - y, k ^ l, c ^ d] for (x, k, c), (y, l, d) in zip(s, t, strict=True)]) for s, t in zip(a, b, strict=True)]
+            if None not in apart:
+                subtracted += 1
+                assert set().union(*apart) == own[i] ^ edited
+    assert subtracted > 20
+
+
+def test_groups_too_full_for_their_tables(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP_CELLS", (3,))
+    texts = [" ".join(f"w{i}x{k}" for k in range(150)) for i in range(3)]
+    got = fingerprint.fingerprints(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all("=" in r.fingerprint for r in got) and got[3].near_next == 1 and got[0].near_next == 0 and got[3].fingerprint == got[0].fingerprint
+    assert len(set().union(*map(peeled, tables(got[0].fingerprint)))) == 12
+
+
 @pytest.mark.parametrize("size", [5000, 20])
 def test_fingerprints(docs, rows, none, size, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", size)

@@ -1,13 +1,15 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
 A text's paragraphs (lines, in runs of at most 32 words, the first run in runs of four) are
-digested to 64 bits.  Each distinct digest is added to three cells of a table: a count, the
-exclusive or of the digests and that of their checks.  Tables of two versions subtract
-cell by cell, what they share cancels, and peeling cells that hold one digest recovers the
-digests that differ.  Where a table is too small for that, larger ones are tried: the
-digests are dealt to groups by hash, as many groups as both versions need, each with a
-table of its own, which doubles until it can be peeled.  So work follows the length
-of the text.  Everything is DataFrame functions.
+digested to 64 bits, and the distinct digests dealt to groups by their leading bits, about
+``GROUP_UNITS`` to a group.  Each digest is added to three cells of its group's table: a count, the
+exclusive or of the digests and that of their checks.  A table is retried larger until peeling
+it alone gives back its digests, so a fingerprint, which is written out whole, is a function
+of its text alone and holds all that likeness needs.
+
+Two fingerprints are compared through their tables: groups that both have are brought to the same
+size, subtracted cell by cell, so that what they share cancels, and peeled, larger again
+on failure; the peeled digests are those that differ.  Everything is DataFrame functions on one row.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from pyspark.sql import functions as F
 from tracewell.llm.columns import bound
 from tracewell.storage import materialize
 
-CELLS = 15
 GROUP_CELLS = (18, 36, 72, 288)
 GROUP_UNITS = 6
-ROUNDS = 6
+ROUNDS = 8
 BUCKET_ROWS = 5000
 MAX_BUCKETS = 100_000
 _WORD = "[^\\x20\\x09-\\x0D]++[\\x20\\x09\\x0B-\\x0D]*+"
@@ -38,13 +39,17 @@ def _of_runs(runs: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(head, rest), lambda u: F.xxhash64(u)))
 
 
+def _check(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+
 def _placed(key: Column, sign: Column, cells: int) -> Column:
     """A digest with its sign, its check and its three cells, one in each third of the table."""
     third = cells // 3
     def place(r, bits):
         return (F.shiftrightunsigned(r, bits).bitwiseAND(F.lit(0xFFFF).cast("long")) % third).cast("int")
 
-    return bound(F.xxhash64(key, F.lit(cells)), lambda r: F.struct(key.alias("k"), sign.cast("int").alias("s"), F.xxhash64(key, F.lit(-1)).alias("c"), place(r, 0).alias("h0"), place(r, 16).alias("h1"), place(r, 32).alias("h2")))
+    return bound(F.xxhash64(key, F.lit(cells)), lambda r: F.struct(key.alias("k"), sign.cast("int").alias("s"), _check(key).alias("c"), place(r, 0).alias("h0"), place(r, 16).alias("h1"), place(r, 32).alias("h2")))
 
 
 def _added(start: Column, placed: Column, i: int, j: Column, way: int = 1) -> Column:
@@ -80,16 +85,80 @@ def peel(cells: Column, size: int) -> Column:
         return F.when(F.size(placed) == 0, state).otherwise(new)
 
     def step(state, _):
-        pure = F.filter(state["t"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(-1)) == c["c"]))
+        pure = F.filter(state["t"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"]))
         return bound(F.array_distinct(F.transform(pure, lambda c: _placed(c["k"], c["n"], size))), lambda placed: after(state, placed))
 
     start = F.struct(cells.alias("t"), none.alias("f"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["t"], lambda c: (c["n"] == 0) & (c["k"] == 0)), s["f"]))
 
 
-def written(cells: Column, units: Column) -> Column:
-    """A fingerprint as text: the number of digests, then each cell in hexadecimal."""
-    return F.concat(F.size(units).cast("string"), F.lit(":"), F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["n"].cast("long")), F.lit("."), F.hex(c["k"]), F.lit("."), F.substring(F.hex(c["c"]), -8, 8))), "-"))
+def table_of(units: Column, size: int) -> Column:
+    return table(F.transform(units, lambda u: _placed(u, F.lit(1), size)), size)
+
+
+def bits_for(units: Column) -> Column:
+    """log2 of the number of groups for so many digests."""
+    return F.ceil(F.log2(F.greatest(F.size(units) / GROUP_UNITS, F.lit(1.0)))).cast("int")
+
+
+def _leading(unit: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", F.call_function("shiftrightunsigned", unit, F.lit(1)), F.lit(63) - bits)
+
+
+def groups(units: Column, bits: Column) -> Column:
+    """The digests by their leading bits, dealt in two steps so that work grows with units times the root of the groups."""
+
+    def many(k):
+        return F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1)
+
+    def split(s):
+        low = F.call_function("shiftleft", F.lit(1).cast("long"), s["k"] - s["half"]) - 1
+
+        def fine(mine):
+            return F.transform(many(s["k"] - s["half"]), lambda f: F.filter(mine, lambda u: _leading(u, s["k"]).bitwiseAND(low) == f))
+
+        return F.flatten(F.transform(many(s["half"]), lambda c: bound(F.filter(s["u"], lambda u: _leading(u, s["half"]) == c), fine)))
+
+    return bound(F.struct(units.alias("u"), bits.alias("k"), F.floor(bits / 2).cast("int").alias("half")), split)
+
+
+def published(units: Column) -> Column:
+    """The fingerprint of digests as text, and the digests that its tables give back."""
+
+    def one(mine, sizes=GROUP_CELLS):
+        if not sizes:  # a list: tables of any size would need more rounds
+            return F.struct(F.concat(F.lit("="), F.array_join(F.transform(mine, lambda u: F.hex(u)), "-")).alias("text"), mine.alias("units"))
+        size = sizes[0]
+
+        def tried(t):
+            return bound(peel(t, size), lambda got: F.when(got.isNotNull() & (F.size(got) == F.size(mine)), F.struct(written(t).alias("text"), got.alias("units"))).otherwise(one(mine, sizes[1:])))
+
+        return bound(table_of(mine, size), tried)
+
+    def whole(parts):
+        head = F.concat(F.size(units).cast("string"), F.lit(":"), bits_for(units).cast("string"), F.lit(":"))
+        return F.struct(F.concat(head, F.array_join(F.transform(parts, lambda p: p["text"]), ";")).alias("text"), F.flatten(F.transform(parts, lambda p: p["units"])).alias("units"))
+
+    return bound(F.transform(groups(units, bits_for(units)), lambda mine: one(mine)), whole)  # noqa: PLW0108
+
+
+def written(cells: Column) -> Column:
+    """A table as text: each cell's count, digests and checks in hexadecimal, empty cells as nothing."""
+    return F.array_join(F.transform(cells, lambda c: F.when((c["n"] == 0) & (c["k"] == 0), F.lit("")).otherwise(F.concat(F.hex(c["n"].cast("long")), F.lit("."), F.hex(c["k"]), F.lit("."), F.hex(c["c"])))), "-")
+
+
+def differing(a: Column, b: Column) -> Column:
+    """The digests that only one of two fingerprints has, given what their tables hold."""
+
+    def one(p, sizes=GROUP_CELLS):
+        if not sizes:
+            return F.concat(F.array_except(p["a"], p["b"]), F.array_except(p["b"], p["a"]))
+        size = sizes[0]
+        got = peel(subtract(table_of(p["a"], size), table_of(p["b"], size)), size)
+        return bound(got, lambda g: F.when(g.isNotNull(), g).otherwise(one(p, sizes[1:])))
+
+    bits = F.greatest(bits_for(a), bits_for(b))
+    return F.flatten(F.transform(F.arrays_zip(groups(a, bits).alias("a"), groups(b, bits).alias("b")), lambda p: one(p)))  # noqa: PLW0108
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -148,29 +217,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half)))
-    base = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(digests(F.col(c)).alias(k) for c, k in (("text", "a"), ("edited", "e"), ("next_text", "x"))))
-    base = base.select("*", *(table(F.transform(F.col(k), lambda u: _placed(u, F.lit(1), CELLS)), CELLS).alias(f"t{k}") for k in "aex"))
-    base = base.withColumn("de", F.size(peel(subtract(F.col("ta"), F.col("te")), CELLS))).withColumn("dx", F.size(peel(subtract(F.col("ta"), F.col("tx")), CELLS)))
-    base = base.select("doc_id", "n_chars", "edited_sha256", written(F.col("ta"), F.col("a")).alias("fingerprint"), written(F.col("te"), F.col("e")).alias("edited_fingerprint"), F.size("a").alias("na"), F.size("e").alias("ne"), F.size("x").alias("nx"), *(F.when(F.col(d) >= 0, F.col(d)).alias(d) for d in ("de", "dx")), "a", "e", "x")
-    base = materialize(base.withColumn("uid", F.monotonically_increasing_id()))
-    larger = _retry(base.filter("de is null").select("uid", F.lit(0).alias("kind"), "a", F.col("e").alias("b")), base.filter("dx is null").select("uid", F.lit(1).alias("kind"), "a", F.col("x").alias("b")))
-    out = base.drop("a", "e", "x").join(larger, "uid", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("na"), F.col("ne"), F.coalesce("de", "le")).alias("near_edited"), likeness(F.col("na"), F.col("nx"), F.coalesce("dx", "lx")).alias("near_next"))
-
-
-def _retry(*pairs: DataFrame) -> DataFrame:
-    """``uid, le, lx``: how many digests differ, by groups with tables of their own."""
-    every = pairs[0].unionByName(pairs[1])
-    groups = F.greatest(F.lit(1), F.ceil((F.size("a") + F.size("b")) / GROUP_UNITS))
-    signed = F.concat(F.transform("a", lambda u: F.struct(u.alias("u"), F.lit(1).alias("s"))), F.transform("b", lambda u: F.struct(u.alias("u"), F.lit(-1).alias("s"))))
-    units = every.withColumn("g", groups).select("uid", "kind", "g", F.explode(signed).alias("v"))
-    dealt = units.groupBy("uid", "kind", F.pmod(F.xxhash64(F.col("v.u"), F.lit(7)), F.col("g")).alias("group")).agg(F.collect_list("v").alias("v"))
-
-    def side(way, size):
-        return table(F.transform(F.filter("v", lambda v: v["s"] == way), lambda v: _placed(v["u"], F.lit(1), size)), size)
-
-    found = F.size("v")
-    for size in reversed(GROUP_CELLS):
-        rest = found
-        found = bound(peel(subtract(side(1, size), side(-1, size)), size), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(rest))
-    return dealt.select("uid", "kind", found.alias("d")).groupBy("uid").agg(F.sum(F.when(F.col("kind") == 0, F.col("d"))).alias("le"), F.sum(F.when(F.col("kind") == 1, F.col("d"))).alias("lx"))
+    base = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.transform(F.array("text", "edited", "next_text"), lambda t: published(digests(t))).alias("made"))
+    made = [F.col("made")[i] for i in range(3)]
+    base = base.withColumn("apart", F.transform(F.array(made[1]["units"], made[2]["units"]), lambda other: F.size(differing(made[0]["units"], other))))
+    near = [likeness(F.size(made[0]["units"]), F.size(made[i]["units"]), F.col("apart")[i - 1]) for i in (1, 2)]
+    return base.select("doc_id", "n_chars", "edited_sha256", made[0]["text"].alias("fingerprint"), made[1]["text"].alias("edited_fingerprint"), near[0].alias("near_edited"), near[1].alias("near_next"))
