@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.columns import bound
 from tracewell.storage import materialize
 
-GROUP_CELLS = (18, 36, 72, 288)
-GROUP_UNITS = 6
+GROUP_CELLS = (12, 30, 96)
+GROUP_UNITS = 4
 ROUNDS = 8
 BUCKET_ROWS = 5000
 MAX_BUCKETS = 100_000
@@ -81,14 +81,15 @@ def peel(cells: Column, size: int) -> Column:
         def part(i):
             return F.transform(F.slice(state["t"], i * third + 1, third), lambda c, j: _added(c, placed, i, j, -1))
 
-        new = F.struct(F.concat(*map(part, range(3))).alias("t"), F.concat(state["f"], F.transform(placed, lambda p: p["k"])).alias("f"))
-        return F.when(F.size(placed) == 0, state).otherwise(new)
+        new = F.struct(F.concat(*map(part, range(3))).alias("t"), F.concat(state["f"], F.transform(placed, lambda p: p["k"])).alias("f"), F.lit(True).alias("go"))
+        stuck = F.struct(state["t"].alias("t"), state["f"].alias("f"), F.lit(False).alias("go"))
+        return F.when(F.size(placed) == 0, stuck).otherwise(new)
 
     def step(state, _):
         pure = F.filter(state["t"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"]))
-        return bound(F.array_distinct(F.transform(pure, lambda c: _placed(c["k"], c["n"], size))), lambda placed: after(state, placed))
+        return F.when(~state["go"], state).otherwise(bound(F.array_distinct(F.transform(pure, lambda c: _placed(c["k"], c["n"], size))), lambda placed: after(state, placed)))
 
-    start = F.struct(cells.alias("t"), none.alias("f"))
+    start = F.struct(cells.alias("t"), none.alias("f"), F.lit(True).alias("go"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["t"], lambda c: (c["n"] == 0) & (c["k"] == 0)), s["f"]))
 
 
@@ -217,8 +218,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half)))
-    base = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.transform(F.array("text", "edited", "next_text"), lambda t: published(digests(t))).alias("made"))
-    made = [F.col("made")[i] for i in range(3)]
-    base = base.withColumn("apart", F.transform(F.array(made[1]["units"], made[2]["units"]), lambda other: F.size(differing(made[0]["units"], other))))
-    near = [likeness(F.size(made[0]["units"]), F.size(made[i]["units"]), F.col("apart")[i - 1]) for i in (1, 2)]
+    base = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.transform(F.array("text", "edited"), lambda t: published(digests(t))).alias("made"), digests(F.col("next_text")).alias("next"))
+    made = [F.col("made")[i] for i in range(2)]
+    held = (made[1]["units"], F.col("next"))  # the next document's tables give back its digests, as its own row has made sure
+    base = base.withColumn("apart", F.transform(F.array(*held), lambda other: F.size(differing(made[0]["units"], other))))
+    near = [likeness(F.size(made[0]["units"]), F.size(held[i]), F.col("apart")[i]) for i in range(2)]
     return base.select("doc_id", "n_chars", "edited_sha256", made[0]["text"].alias("fingerprint"), made[1]["text"].alias("edited_fingerprint"), near[0].alias("near_edited"), near[1].alias("near_next"))
