@@ -7,7 +7,7 @@ entity, so different entities never share one.  Thresholds are parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.normalize import is_private_ip, subnet24
@@ -151,6 +151,26 @@ def rail_bridge(links: DataFrame, roles: DataFrame) -> DataFrame:
     return _finding(g, "RAIL-BRIDGE", F.lit("MEDIUM"), "HIGH", F.lit(8))
 
 
+def evidence(findings: DataFrame, observations: DataFrame, most: int = 50) -> DataFrame:
+    """``findings`` with ``evidence``: the first ``most`` events (``observations``: node, event_id, seq) that show an entity with a member of its finding.
+
+    Where the entity is no node, such as a digest or a network, they are the events that show a member.
+    """
+    each = findings.select("code", "entity", F.explode("members").alias("node")).distinct()
+    seen = observations.select("node", "event_id", "seq").distinct()
+    shown = each.join(seen, "node").select("code", "entity", F.col("node").alias("member"), "event_id", "seq")
+    both = shown.join(seen.select(F.col("node").alias("entity"), "event_id"), ["entity", "event_id"], "left_semi")
+    found = both.unionByName(shown.join(both.select("code").distinct(), "code", "left_anti"))
+    return findings.join(first_events(found, ["code"], most), "code", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
+def first_events(rows: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
+    """The ``keys`` and ``evidence``: the first ``most`` distinct events of each by seq; only that many of each are gathered."""
+    w = Window.partitionBy(*keys).orderBy("seq", "event_id")
+    first = rows.select(*keys, "event_id", "seq").distinct().withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= most)
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "event_id"))), lambda x: x["event_id"].cast("string")).alias("evidence"))
+
+
 def additional_victims(nodes: DataFrame) -> DataFrame:
     """Findings for ``transfers.additional_victims``."""
     g = nodes.select(F.col("node").alias("entity"), F.array("node").alias("members"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.textmine import saturated
 from tracewell.operators import transfers as T
+from tracewell.operators.rules import first_events
 
 # Points of each reason.
 WEIGHTS = {
@@ -72,6 +73,25 @@ def scores(reasons: DataFrame, victims: DataFrame | None = None, probable: DataF
     return s.select("node", "raw", "score", band.alias("band"), "reasons")
 
 
+def main_reasons(reasons: DataFrame, clusters: DataFrame, top: int = 10) -> DataFrame:
+    """``cluster, main``: the reasons of all nodes of a cluster, heaviest first, as ``code, points`` of the node where they weigh most."""
+    named = reasons.join(clusters.select("node", "component"), "node", "left").select(F.coalesce("component", "node").alias("cluster"), "code", "points")
+    each = named.groupBy("cluster", "code").agg(F.max("points").alias("points"))
+    first = each.withColumn("_place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("points").desc(), "code"))).filter(F.col("_place") <= top)
+    return first.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "code", "points"))), lambda x: F.struct(x["code"].alias("code"), x["points"].alias("points"))).alias("main"))
+
+
+def reason_evidence(reasons: DataFrame, findings: DataFrame, transfers: DataFrame, observations: DataFrame, most: int = 50) -> DataFrame:
+    """``node, code, evidence`` of each reason: a finding's own events, else the node's transfers, else its other events."""
+    each = reasons.select("node", "code").distinct()
+    of_findings = each.join(findings.select("code", "evidence"), "code")
+    rest = each.join(findings.select("code"), "code", "left_anti")
+    moved = transfers.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "event_id", "seq")
+    paid = first_events(rest.join(moved, "node"), ["node", "code"], most)
+    others = rest.join(paid.select("node", "code"), ["node", "code"], "left_anti").join(observations.select("node", "event_id", "seq"), "node")
+    return of_findings.select("node", "code", "evidence").unionByName(paid).unionByName(first_events(others, ["node", "code"], most))
+
+
 def suspects(scored: DataFrame, clusters: DataFrame, flows: DataFrame, layers: DataFrame, victims: DataFrame, top_reasons: int = 10) -> DataFrame:
     """One row per cluster: primary node, score, band, money in and out, least layer and main reasons.
 

@@ -50,6 +50,30 @@ def _lagged(hops: DataFrame) -> DataFrame:
     return hops.join(lags, "seq", "left").select("depth", "src", "dst", "amount", "ts", "seq", "lag_minutes", "via")
 
 
+def paths(hops: DataFrame, top: int = 25) -> DataFrame:
+    """``total, length, seqs``: the ``top`` routes by amount, then length, then seqs, that end where nothing follows.
+
+    A hop's route is the route of the hop that reached its payer earliest (``via``), and the hop.
+    """
+    deepest = hops.agg(F.max("depth")).first()[0] or 0
+    own = hops.select("depth", "seq", "via", F.abs("amount").cast("decimal(18,2)").alias("amount"))
+    ends = own.join(own.select(F.col("via").alias("seq")).distinct(), "seq", "left_anti").select("seq")
+    routes = every = None
+    for depth in range(1, deepest + 1):
+        here = own.filter(F.col("depth") == depth)
+        if routes is None:
+            routes = here.select("seq", F.col("amount").cast("decimal(38,2)").alias("total"), F.array("seq").alias("seqs"))
+        else:
+            before = routes.select(F.col("seq").alias("via"), F.col("total").alias("_total"), F.col("seqs").alias("_seqs"))
+            routes = here.join(before, "via").select("seq", (F.col("_total") + F.col("amount")).cast("decimal(38,2)").alias("total"), F.concat("_seqs", F.array("seq")).alias("seqs"))
+        routes = materialize(routes)
+        every = routes if every is None else every.unionByName(routes)
+    if every is None:
+        return own.limit(0).select(F.lit(0.0).alias("total"), F.lit(0).alias("length"), F.array("seq").alias("seqs"))
+    best = every.join(ends, "seq").select(F.col("total").cast("double").alias("total"), F.size("seqs").alias("length"), "seqs")
+    return best.orderBy(F.col("total").desc(), F.col("length").desc(), "seqs").limit(top)
+
+
 def layers(hops: DataFrame, origins: DataFrame) -> DataFrame:
     """``node, layer``: least depth at which money reaches a node; origins are layer 0."""
     every = hops.select(F.col("dst").alias("node"), F.col("depth").alias("layer")).unionByName(origins.select("node", F.lit(0).alias("layer")))

@@ -33,6 +33,13 @@ class Case:
         self.events = materialize(events(X.records(trusted)))
         self._made: dict[str, DataFrame] = {}
 
+    @classmethod
+    def of_events(cls, spark: SparkSession, found: DataFrame, max_depth: int = 6) -> Case:
+        """A case of canonical events that were read elsewhere; it has no exhibits."""
+        case = cls.__new__(cls)
+        case.spark, case.max_depth, case.exhibits, case.events, case._made = spark, max_depth, None, materialize(found), {}
+        return case
+
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
             self._made[name] = materialize(make())
@@ -128,7 +135,7 @@ class Case:
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
-            return out
+            return R.evidence(materialize(out), self.observations)
 
         return self._once("findings", make)
 
@@ -175,7 +182,39 @@ class Case:
     @property
     def suspects(self) -> DataFrame:
         ranked = self.scores.filter(R.kind_of("node").isin("ACCOUNT", "UPI", "PHONE", "EMAIL", "PERSON")).join(self.probable_victims, "node", "left_anti")
-        return self._once("suspects", lambda: S.suspects(ranked, self.clusters, self.flows, self.layers, self.victims))
+
+        def make():
+            out = S.suspects(ranked, self.clusters, self.flows, self.layers, self.victims).drop("reasons")
+            return out.join(S.main_reasons(self.reasons, self.clusters), "cluster", "left")
+
+        return self._once("suspects", make)
+
+    @property
+    def evidence(self) -> DataFrame:
+        """``node, code, evidence``: the events behind each reason."""
+        return self._once("evidence", lambda: S.reason_evidence(self.reasons, self.findings, self.transfers, self.observations))
+
+    @property
+    def paths(self) -> DataFrame:
+        """The 25 heaviest routes of the trail."""
+        return G.paths(self.hops)
+
+    def summary(self) -> DataFrame:
+        """``kind, events, entities, first, last``"""
+        entities = self.observations.groupBy("kind").agg(F.count_distinct("node").alias("entities"))
+        return self.events.groupBy("kind").agg(F.count("*").alias("events"), F.min("ts").alias("first"), F.max("ts").alias("last")).join(entities, "kind", "left")
+
+    @property
+    def cash_totals(self) -> DataFrame:
+        """``node, mode, count, amount, first, last``: what each node drew, and when."""
+        return self.cash_outs.groupBy("node", "mode").agg(F.count("*").alias("count"), F.sum(T.cents("amount")).cast("double").alias("amount"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+    @property
+    def holders(self) -> DataFrame:
+        """``component, nodes, holders``: clusters of two nodes or more, and who holds them."""
+        held = self.links.filter("rel = 'HOLDS'").select(F.col("src").alias("holder"), F.col("dst").alias("node")).distinct()
+        every = self.clusters.join(held, "node", "left").groupBy("component").agg(F.count_distinct("node").alias("nodes"), F.array_sort(F.collect_set("holder")).alias("holders"))
+        return every.filter("nodes >= 2")
 
     def loss(self) -> DataFrame:
         """``fraud_total, first_debit``: the debits in question, counted once; without any the complaint's amount."""
@@ -238,6 +277,8 @@ class Case:
             "suspects": rows(S.ranked(self.suspects, suspects)),
             "findings": rows(self.findings.orderBy(F.col("score").desc(), "code").limit(50)),
             "traced": rows(G.traced_total(self.hops)),
+            "paths": rows(self.paths),
+            "cash_outs": rows(self.cash_totals.orderBy(F.col("amount").desc(), "node", "mode").limit(50)),
             "timeline": rows(self.timeline()),
             "recommendations": rows(self.recommendations().limit(50)),
         }
@@ -248,3 +289,5 @@ class Case:
         """Write events and findings as JSON, by Spark."""
         self.events.write.mode("overwrite").json(f"{path}/events")
         self.findings.write.mode("overwrite").json(f"{path}/findings")
+        brief = json.dumps(self.brief(), sort_keys=True, default=str)
+        self.spark.createDataFrame([(brief,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/brief")

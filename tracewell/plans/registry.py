@@ -140,7 +140,17 @@ def t06_hosts(spark, sf):
     return table(spark, sf, "pages").select("page_id", host.alias("host"), F.array_contains(risk, "host with many hyphens").alias("hyphens"), F.array_contains(risk, "host is an IP address").alias("raw_ip"), (host.endswith(".example.org") | host.endswith("example.net")).alias("known"))
 
 
-@query()
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(rf"""
+with h as (select page_id, url, lower(coalesce(url, '')) as u, split_part(split_part(regexp_replace(lower(coalesce(url, '')), '^https?://', ''), '/', 1), ':', 1) as host from pages),
+x as (select *, [t for t in {_listed(M.TLDS)} if ends_with(host, t)][1] as tld, [b for b in {_listed(M.BRANDS)} if contains(host, b)][1] as brand,
+  len([g for g in {_listed(M.GENUINE)} if host = g or ends_with(host, '.' || g)]) > 0 or ends_with(host, '.gov.in') or ends_with(host, '.nic.in') or ends_with(host, '.rbi.org.in') as own from h)
+select page_id, url, [r for r in [case when regexp_full_match(host, '(\d{{1,3}}\.){{3}}\d{{1,3}}') then 'host is an IP address' end, case when tld is not null then 'top-level domain ' || tld end,
+  case when not own and brand is not null then 'brand ' || upper(brand) || ' on a foreign domain' end, case when ends_with(u, '.apk') then 'links to an Android package' end,
+  case when length(host) - length(replace(host, '-', '')) >= 2 then 'host with many hyphens' end] if r is not null] as reasons from x""".replace("\\\\", "\\"))
 def t03_url_risk(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url", M.url_risk(F.col("url")).alias("reasons"))
 
@@ -373,7 +383,16 @@ def _origins(spark, sf):
     return funds(spark, sf).filter("src like 'ACCOUNT|C%'").select(F.min("src").alias("node"))
 
 
-@query()
+_TRACE = f"""{FUNDS}, {_FLOWS.format(t='funds')}, moved as (select * from funds where src <> dst),
+o as (select node from flows order by out_amount - in_amount desc, node limit 1),
+r0 as (select node, null::timestamp as at, null::bigint as via from o)""" + "".join(f""",
+h{d} as (select {d} as depth, f.*, r.via from moved f join r{d - 1} r on f.src = r.node and (r.at is null or f.ts >= r.at){''.join(f' and f.seq not in (select seq from h{e})' for e in range(1, d))}),
+r{d} as (select dst as node, min(ts) as at, arg_min(seq, struct_pack(t := ts, s := seq)) as via from h{d} group by dst)""" for d in range(1, 7)) + ", hops as (" + " union all ".join(f"select * from h{d}" for d in range(1, 7)) + ")"
+
+
+@query(f"""with {_TRACE}, io as (select dst as node, ts, 0 as o, null as seq from hops union all select src, ts, 1, seq from hops),
+k as (select seq, o, ts, max(case when o = 0 then ts end) over (partition by node order by ts, o rows unbounded preceding) as latest from io)
+select depth, src, dst, amount, h.ts, h.seq, (epoch_us(h.ts) - epoch_us(latest)) / 6e7 as lag_minutes, via from hops h join k on k.o = 1 and k.seq = h.seq""")
 def g03_trace(spark, sf):
     """Hops of the money of the node with the largest net loss, to the full depth."""
     f = funds(spark, sf)
@@ -390,7 +409,16 @@ def g06_layers(spark, sf):
     return G.layers(G.trace(funds(spark, sf), o, 2), o)
 
 
-@query()
+@query(f"""with {_TRACE}, p1 as (select seq, cast(amount as decimal(38, 2)) as total, [seq] as seqs from h1){''.join(f', p{d} as (select h.seq, cast(total + cast(amount as decimal(18, 2)) as decimal(38, 2)) as total, list_append(seqs, h.seq) as seqs from h{d} h join p{d - 1} p on p.seq = h.via)' for d in range(2, 7))},
+every as ({' union all '.join(f'select * from p{d}' for d in range(1, 7))})
+select cast(total as double) as total, cast(len(seqs) as int) as length, seqs from every where seq not in (select via from hops where via is not null) order by total desc, length desc, seqs limit 25""")
+def g07_paths(spark, sf):
+    """The 25 heaviest routes of the trail."""
+    f = funds(spark, sf)
+    return G.paths(materialize(G.trace(f, G.default_origins(T.node_flows(f)))))
+
+
+@query(f"with {_TRACE} select node, cast(min(layer) as int) as layer from (select node, 0 as layer from o union all select dst, depth from hops) group by node")
 def g06a_layers_full(spark, sf):
     """As g06_layers, whose SQL ends at two hops, from the node with the largest net loss and to the full depth."""
     f = funds(spark, sf)

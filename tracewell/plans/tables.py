@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def funds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers ``src, dst, amount, ts, seq, status``: a customer pays a supplier, and a returned item is paid back."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
     customer, supplier = F.concat(F.lit("ACCOUNT|C"), F.col("o_custkey")), F.concat(F.lit("ACCOUNT|S"), F.col("l_suppkey"))
     back = F.col("l_returnflag") == "R"
-    seq = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    seq = ((F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")) * 65536 + F.col("l_partkey")) * 4096 + F.col("l_suppkey")  # line numbers repeat within an order
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.when(back, supplier).otherwise(customer).alias("src"), F.when(back, customer).otherwise(supplier).alias("dst"), F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), seq.alias("seq"), F.col("o_orderstatus").alias("status"))
 
 
@@ -24,7 +24,7 @@ FUNDS = """
 funds as (
   select case when l_returnflag = 'R' then 'ACCOUNT|S' || l_suppkey else 'ACCOUNT|C' || o_custkey end as src,
     case when l_returnflag = 'R' then 'ACCOUNT|C' || o_custkey else 'ACCOUNT|S' || l_suppkey end as dst,
-    l_extendedprice as amount, cast(l_shipdate as timestamp) as ts, l_orderkey * 16 + l_linenumber as seq, o_orderstatus as status
+    l_extendedprice as amount, cast(l_shipdate as timestamp) as ts, ((l_orderkey::bigint * 8 + l_linenumber) * 65536 + l_partkey) * 4096 + l_suppkey as seq, o_orderstatus as status
   from lineitem join orders on l_orderkey = o_orderkey)"""
 
 

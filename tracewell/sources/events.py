@@ -232,7 +232,11 @@ def events(records: DataFrame) -> DataFrame:
     """All events, numbered in the order of exhibits and rows; files are opened and times parsed once."""
     records = materialize(records.withColumn("ts", N.parse_ts(field("start"))))
     parts = [f(records) for f in (calls, data_sessions, statements, payments, mails, devices, chats, complaints)]
-    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return numbered(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def numbered(every: DataFrame) -> DataFrame:
+    """Events with ``seq`` and ``event_id`` from their place in the exhibits."""
     seq = F.regexp_extract("exhibit", "(\\d+)$", 1).cast("bigint") * 1_000_000_000_000 + F.col("row") * 100_000 + F.col("sub")
     return every.withColumn("seq", seq).withColumn("event_id", F.concat_ws("-", "exhibit", "row", "sub")).withColumn("flags", F.array_distinct(F.coalesce("flags", F.array().cast("array<string>"))))
 
@@ -243,4 +247,10 @@ def ordered(every: DataFrame) -> DataFrame:
 
 
 def ordinals(every: DataFrame) -> DataFrame:
-    return every.withColumn("ordinal", F.row_number().over(Window.orderBy(F.col("ts").asc_nulls_last(), "seq")))
+    """``every`` with ``ordinal``, its place from 1 on in the order of ``ordered``: ranges of time are numbered apart, then shifted."""
+    order = [F.col("ts").isNull(), "ts", "seq"]
+    dealt = materialize(every.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("ordinal", local).join(F.broadcast(before), "_part").withColumn("ordinal", F.col("ordinal") + F.col("_before")).select(*every.columns, "ordinal")
