@@ -536,3 +536,133 @@ def test_words_do_not_depend_on_segments(monkeypatch):
     monkeypatch.setattr(words, "SEGMENT", 7)
     cut = words.word_hashes(t)
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and len(whole[0]) == 10
+
+
+def test_at_most_so_many_rows_train(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(i, "other") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, "toxic", 1).count() == 1
+    assert toxicity.training_rows(docs, labels, "toxic", 1000).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 40))
+
+
+def test_mixed_emits_what_it_plans_where_rows_repeat(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice([1, 2, 3, None]), " ".join(f"w{rnd.randrange(99)}" for _ in range(rnd.randint(1, 20))), rnd.choice(["a", "b", None])) for _ in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:10], (4, None, "a"), (5, "", "b")], "doc_id long, text string, source string").withColumn("_source", F.lit("x")).withColumn("size", F.lit(1))
+    plan = {r.source: r.taken for r in mixing.mix_plan(docs, shards=4).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    got = {}
+    for r in mixing.mixed(docs, shards=4).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+        assert r._source == "x" and r["size"] == 1
+    assert got == {k: v for k, v in plan.items() if v}
+
+
+def test_toxic_rows_go_and_all_columns_stay(spark):
+    words = [f"word{i}" for i in range(40)]
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choices(words, k=20)) + (" vileword" if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "word1 vileword"), *rows[:3]], "doc_id long, text string").withColumn("score", F.lit("s")).withColumn("label", F.lit(3))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows] + [(None, 1), (7777, 1)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels)
+    left = kept.collect()
+    assert kept.columns == docs.columns and not any("vileword" in (r.text or "") for r in left) and len(left) == 300 + 2 + 2
+    assert {(r.score, r.label) for r in left} == {("s", 3)}
+    assert toxicity.without_toxic(docs, labels.limit(0)).count() == docs.count() and toxicity.without_toxic(docs.limit(0), labels).count() == 0
+
+
+def mixture(counted, order):
+    """Log ratio of a gram by Witten and Bell's mixture of orders 0 to ``order``; ``counted``: gram -> [allow, block]."""
+    levels = {order + 1: counted}
+    for size in range(order, 0, -1):
+        level = {}
+        for g, c in levels[size + 1].items():
+            old = level.setdefault(g[-size:], [0, 0])
+            level[g[-size:]] = [old[0] + c[0], old[1] + c[1]]
+        levels[size] = level
+
+    def chance(g, v):
+        level = levels[len(g)]
+        if len(g) == 1:
+            return (level[g][v] + 0.5) / (sum(c[v] for c in level.values()) + 0.5 * (len(level) + 1))
+        after = [c[v] for x, c in level.items() if x[:-1] == g[:-1]]
+        kinds = sum(c > 0 for c in after) + 1
+        return (level[g][v] + kinds * chance(g[1:], v)) / (sum(after) + kinds)
+
+    return lambda g: round(1000 * max(-20, min(20, np.log(chance(g, 0)) - np.log(chance(g, 1))))) / 1000
+
+
+def test_url_scores_are_those_of_the_mixture(spark):
+    rules = (("allow", "good.org/"), ("block", "bad.org/"))
+    judged = [(0, f"http://good.org/a{i}news") for i in range(12)] + [(1, f"http://bad.org/b{i}spam") for i in range(12)]
+    urls = [u for _, u in judged] + ["http://x.com/news", "http://x.com/spam", "http://x.com/é?", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_filter(pages, rules).collect()}
+    left_out = {r.url for r in pages.filter(url_filter._held_out()).collect()}
+
+    def grams(u):
+        t = "\x02" * url_filter.ORDER + u
+        return [t[i : i + url_filter.ORDER + 1] for i in range(len(u))]
+
+    counted = {}
+    for i, u in enumerate(urls):
+        for g in grams(u or ""):
+            c = counted.setdefault(g, [0, 0])
+            if i < len(judged) and u not in left_out:
+                c[judged[i][0]] += 1
+    ratio = mixture(counted, url_filter.ORDER)
+    for i, u in enumerate(urls):
+        assert got[i].score == pytest.approx(np.mean([ratio(g) for g in grams(u)]) if u else 0, abs=1.1e-3), u
+    assert got[24].score > got[25].score and got[27].score == 0
+    bins = [(v, got[i].score) for i, (v, u) in enumerate(judged) if u in left_out]
+    if {v for v, _ in bins} == {0, 1}:
+        limit = url_filter.threshold(spark.createDataFrame([("allow" if v == 0 else "block", x) for v, x in bins], "verdict string, score double"))
+        assert all(got[i].verdict == ("block" if got[i].score < limit else "allow") for i in (24, 25, 26, 27))
+
+
+def test_toxicity_counts_and_log_odds_by_hand(spark):
+    rows = [("vile foul word", 1), ("vile word word", 1), ("vile thing", 1), ("nice word", 0), ("nice thing", 0)] * 4
+    counts = toxicity._counts(spark.createDataFrame(rows, "text string, label int"))
+    hashes, _ = words.letter_hashes(pa.array(["vile", "word", "nice", "thing", "foul"]), toxicity.PREFIXES)
+    found = {(r["level"], r["key"]): (r["toxic"], r["hits"]) for r in counts["rows"].to_pylist()}
+    for k, want in enumerate([(12, 12), (8, 12), (0, 8), (4, 8), (4, 4)]):
+        mine = found.get((2, int(hashes[2][k].view(np.int64))))
+        assert mine == want or (mine is None and want[0] < 2 and want[1] < 20)
+    model = toxicity._log_odds(counts)
+    score = toxicity.token_scores(model, hashes)
+    assert score[0] > 0 and score[2] == 0
+    got = toxicity.evidence(model, pa.array(["nice vile vile nice", "nice", "", None]))
+    assert got[0][0] > 0 and (got[0][1:] == 0).all() and got[3].tolist() == [4, 1, 0, 0]
+
+
+def test_rules_compile_to_what_they_say(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.random((600, len(quality.NAMES)))
+    y = ((x[:, 0] > 0.5) & (x[:, 3] <= 0.7)).astype(float)
+    fitted = quality.fit(x, y)
+
+    def by_hand(row):
+        z = fitted.intercept
+        for rule, weight in zip(fitted.rules, fitted.weights, strict=True):
+            z += weight * all((row[f] > cut) == above for f, above, cut in rule)
+        return 1 / (1 + np.exp(-z))
+
+    p = np.array([by_hand(r) for r in x])
+    assert ((p > 0.5) == (y > 0)).mean() > 0.97
+    frame = spark.createDataFrame(x[:50].tolist(), list(quality.NAMES))
+    compiled = [r[0] for r in frame.select(quality.probability(fitted, {n: F.col(n) for n in quality.NAMES})).collect()]
+    assert compiled == pytest.approx(p[:50].tolist(), abs=1e-9)
+
+
+def test_every_maximal_segment_and_no_other():
+    rnd = random.Random(11)
+    for _ in range(300):
+        s = [rnd.uniform(0.1, 4) if rnd.random() < 0.4 else -0.5 for _ in range(16)]
+        at = [i for i, x in enumerate(s) if x > 0]
+        got = toxicity.segments(np.array(at), np.array([s[i] + 0.5 for i in at]))
+
+        def scan(lo, hi):
+            best = max(((sum(s[a:b]), -(b - a), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0, 0))
+            return [] if best[0] <= 0 else [*scan(lo, best[2]), (best[2], best[3] - 1, best[0]), *scan(best[3], hi)]
+
+        want = scan(0, len(s))
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.columns import fresh
-from tracewell.storage import join_checked, materialize
+from tracewell.storage import join_checked, join_groups, materialize, named_as, rows_of
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 REACH = 3
@@ -88,10 +88,11 @@ def _takes(sized: DataFrame, weights: Sequence[int], block: int, reach: int) ->
     goal = materialize(goal.withColumn("_tie", F.coalesce(F.hex("source"), F.lit("~"))).withColumn("_all", F.lit(1)).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block)))
     seats = apportion(goal, ["_all"], "target", "_seats", "quota").withColumnRenamed("_tie", "_source").drop("_all")
     plan = goal.withColumnRenamed("_tie", "_source").drop("_all", "_seats").join(seats, "_source", "left").fillna(0, ["quota"])
-    parts = shard.withColumn("_source", _key()).drop("source").join(F.broadcast(plan.select("_source", "quota")), "_source")
+    plan = materialize(plan.select("_source", "source_size", "target", "quota"))
+    parts = join_checked(shard.withColumn("_source", _key()).drop("source"), named_as(plan, ["_source", "quota"]), "_source")
     per = apportion(parts, ["_source"], "shard_size", "quota", "shard_quota")
     parts = parts.drop("quota").join(per, ["_source", "_tie"], "left").select("_source", "_tie", "shard_size", F.least(F.coalesce("shard_quota", F.lit(0)) * block, F.col("shard_size") * reach).alias("_take"))
-    return parts.join(F.broadcast(plan.select("_source", "source_size", "target")), "_source")
+    return join_checked(parts, named_as(plan, ["_source", "source_size", "target"]), "_source")
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block: int = 8, shards: int = 1024, seed: int = 42, reach: int = REACH) -> DataFrame:
@@ -122,21 +123,23 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block: int = 8, s
     last of each source, of which the first words are taken.  The order is cut into ranges
     of about ``RANGE`` documents; sums of words tell which ranges are in, and only the range
     in which a source ends is sorted.  Rows that agree in doc_id and source follow each
-    other by size and text.
+    other by size and text.  Null and empty texts never appear; ties follow doc_id; an empty
+    table gives an empty table; other columns are kept, whatever their names.
     """
     sized = _sized(docs, shards, seed)
     give = _takes(sized, weights, block, reach).groupBy("_source").agg(F.sum("_take").alias("_words"))
-    per = sized.groupBy(_key().alias("_source")).agg(F.ceil(F.count("*") / RANGE).alias("_ranges"), F.sum("size").alias("_size")).join(give, "_source")
+    per = sized.groupBy(_key().alias("_source")).agg(F.ceil(F.count("*") / RANGE).alias("_ranges"), F.sum("size").alias("_size"), F.count("*").alias("_count")).join(give, "_source")
     laps = F.floor(F.col("_words") / F.greatest("_size", F.lit(1)))
-    per = materialize(per.select("_source", "_ranges", laps.alias("_laps"), (F.col("_words") - laps * F.col("_size")).alias("_rest")))
-    ranges = sized.withColumn("_source", _key()).join(F.broadcast(per), "_source").groupBy("_source", _range(F.col("_head"), F.col("_ranges")).alias("_range")).agg(F.sum("size").alias("_size"), F.first("_laps").alias("_laps"), F.first("_rest").alias("_rest"))
+    per = materialize(per.select("_source", "_ranges", "_count", laps.alias("_laps"), (F.col("_words") - laps * F.col("_size")).alias("_rest")))
+    ranges = join_groups(sized.withColumn("_source", _key()), per, "_source", "_count", rows_of(sized)).groupBy("_source", _range(F.col("_head"), F.col("_ranges")).alias("_range")).agg(F.sum("size").alias("_size"), F.first("_laps").alias("_laps"), F.first("_rest").alias("_rest"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("_left", F.col("_rest") - before).withColumn("_more", F.when(F.col("_left") >= F.col("_size"), 1).when(F.col("_left") <= 0, 0))
 
-    source, count, at, times, more, left, order, size, last, lap = fresh(docs, "_source", "_ranges", "_range", "_laps", "_more", "_left", "_order", "_size", "_last", "_lap")
+    source, count, many, at, times, more, left, order, size, last, lap = fresh(docs, "_source", "_ranges", "_count", "_range", "_laps", "_more", "_left", "_order", "_size", "_last", "_lap")
     ranges = materialize(ranges.select(F.col("_source").alias(source), F.col("_range").alias(at), F.col("_laps").alias(times), F.col("_more").alias(more), F.col("_left").alias(left)))
     text = F.col("text").cast("string")
-    rows = docs.withColumn(source, _key()).withColumn(order, _order("doc_id", seed)).join(F.broadcast(per.select(F.col("_source").alias(source), F.col("_ranges").alias(count))), source)
+    sources = named_as(per, [F.col("_source").alias(source), F.col("_ranges").alias(count), F.col("_count").alias(many)])
+    rows = join_groups(docs.withColumn(source, _key()).withColumn(order, _order("doc_id", seed)), sources, source, many, rows_of(sized))
     rows = join_checked(rows.withColumn(at, _range(_head(F.col(order)), F.col(count))), ranges, [source, at])
 
     def repeated(frame: DataFrame, n: Column) -> DataFrame:
