@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 _own: dict[str, str] = {}
 
 
