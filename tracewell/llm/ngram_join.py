@@ -33,7 +33,7 @@ from tracewell.storage import discard, join_checked, join_groups, materialize, n
 HEAVY = 1 << 18
 SMALL = 64
 BLOCK = 128
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 PIVOTS = 8
 WIDE = 2048
 COLUMNS = 4096

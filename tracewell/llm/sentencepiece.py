@@ -35,7 +35,7 @@ UNKNOWN_COST = 10.0
 CACHED = 200_000
 CACHED_BYTES = 32 << 20
 LONG = 96
-WINDOW = 1 << 18
+WINDOW = 1 << 15
 _CHUNK = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 _CHUNK_OPEN = re.compile(rb"(?s).+")
 

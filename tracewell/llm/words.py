@@ -1,7 +1,7 @@
 """Words of whole texts as hashes, for all texts of an Arrow batch at once.
 
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``.  Texts are cut at white space into
-segments of about two megabytes, so that memory doesn't follow the length of a text.
+segments of about half a megabyte, so that memory doesn't follow the length of a text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
