@@ -13,7 +13,7 @@ edges of a spanning forest leave the task.
 Columns with many rows aren't paired off.  Each row joins the block of one such column, its
 widest, together with some pivots of that column, which tie the blocks of a group of near copies
 together.  Where a column's rows still belong to several components, those outside the largest meet
-the other rows by signatures, and only the pairs that pass are verified.
+the other rows by signatures, and blocks of those that may link are verified.
 """
 
 from __future__ import annotations
@@ -328,8 +328,8 @@ def _hot_tasks(hot: DataFrame) -> DataFrame:
     return every.select(F.xxhash64("key", "block", F.lit("hot")).alias("task"), "cid").distinct()
 
 
-def _rest_pairs(hot: DataFrame, links: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: of each shingle with classes in several components, the classes outside the largest with all others whose signatures allow a link."""
+def _rest_tasks(hot: DataFrame, links: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Blocks (``task, cid``) of shingles with classes in several components: the classes outside the largest with the others, as far as signatures allow a link between some of a block."""
     labels = materialize(connected_components(links).withColumnRenamed("node", "cid"))
     named = materialize(join_checked(hot.select("key", "cid"), labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label")))
     per = materialize(named.groupBy("key", "label").agg(F.count("*").alias("size")))
@@ -352,19 +352,23 @@ def _rest_pairs(hot: DataFrame, links: DataFrame, reps: DataFrame, num: int, den
         task, side, cid, label, n, *sig = rows
         sig = [s.view(np.uint64) for s in sig]  # of a negative number, numpy counts the bits of its absolute value
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        a, b = [], []
-        for i in left.tolist():
+        may = np.zeros((len(left), len(right)), bool)
+        for k, i in enumerate(left.tolist()):
             apart = np.zeros(len(right), np.int64)
             for s in sig:
                 apart += np.bitwise_count(s[right] ^ s[i])
             x, y = n[i], n[right]
-            ok = (apart * (den + num) <= (x + y) * (den - num)) & (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (label[right] != label[i])
-            a.append(np.full(int(ok.sum()), cid[i]))
-            b.append(cid[right[ok]])
-        a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            may[k] = (apart * (den + num) <= (x + y) * (den - num)) & (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (label[right] != label[i])
+        tasks, members = [], []
+        left, right, may = left[may.any(1)], right[may.any(0)], may[may.any(1)][:, may.any(0)]
+        for p, mine in enumerate(_chunks(n[left])):
+            for q, others in enumerate(_chunks(n[right])):
+                hit = may[np.ix_(mine, others)]
+                both = np.unique(np.concatenate([cid[left[mine[hit.any(1)]]], cid[right[others[hit.any(0)]]]]))
+                members.append(both)
+                tasks.append(np.full(len(both), mix(np.uint64([int(task[0]) & 0xFFFFFFFFFFFFFFFF]) + np.uint64(p << 32) + np.uint64(q)).view(np.int64)[0]))
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *tasks])), pa.array(np.concatenate([none, *members]))], names=["task", "cid"])
 
     def run(batches):
         rest = None
@@ -379,7 +383,13 @@ def _rest_pairs(hot: DataFrame, links: DataFrame, reps: DataFrame, num: int, den
         if rest is not None and len(rest[0]):
             yield near(rest)
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "task long, cid long")
+
+
+def _chunks(n: np.ndarray) -> list[np.ndarray]:
+    """Places in turn, cut where ``BLOCK`` classes or half of ``BLOCK_SHINGLES`` are full."""
+    filled = np.cumsum(np.maximum(1 / BLOCK, 2 * n / BLOCK_SHINGLES))
+    return np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.ceil(filled - 1e-9))) + 1) if len(n) else []
 
 
 def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -400,8 +410,8 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
         tasks = tasks.unionByName(_hot_tasks(hot))
     links = materialize(_block_links(text, reps, tasks, words, num, den).distinct())
     if many:
-        rest = materialize(_rest_pairs(hot, links, reps, num, den))
-        links = materialize(links.unionByName(_block_links(text, reps, _pair_tasks(rest, reps), words, num, den)).distinct())
+        rest = materialize(_rest_tasks(hot, links, reps, num, den))
+        links = materialize(links.unionByName(_block_links(text, reps, rest, words, num, den)).distinct())
     for used in (found, pairs, hot):
         discard(used)
     return every, links
