@@ -31,7 +31,7 @@ from tracewell.llm.words import pieces
 from tracewell.storage import discard, join_checked, join_groups, materialize, named_as, rows_of
 
 MIN_WORDS = 50
-REACH = 16
+REACH = 12
 
 
 def line_ids(text: bytes) -> tuple[list[int], list[int]]:
