@@ -154,3 +154,19 @@ def test_every_query_with_sql_is_registered():
     from tracewell.plans import registry
 
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("span", ["HOUR", "DAY"])
+def test_lags_of_hops_reach_over_spans(spark, frame, span):
+    hops = G.trace(frame, spark.createDataFrame([("A",)], "node string"), 4).drop("lag_minutes")
+    every = hops.collect()
+    into = {}
+    for h in every:
+        if h.ts is not None:
+            into.setdefault(h.dst, []).append(h.ts)
+    got = {r.seq: r.lag_minutes for r in G._lagged(hops, span).collect()}
+    assert len(got) == len(every) > 100
+    for h in every:
+        before = [t for t in into.get(h.src, ()) if h.ts is not None and t <= h.ts]
+        want = (h.ts - max(before)).total_seconds() / 60 if before else None
+        assert got[h.seq] == (want if want is None else pytest.approx(want))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.storage import discard, materialize
@@ -38,15 +38,21 @@ def trace(transfers: DataFrame, origins: DataFrame, max_depth: int = 6) -> DataF
     return _lagged(found)
 
 
-def _lagged(hops: DataFrame) -> DataFrame:
-    """Add the time since the payer's latest arrival."""
-    into = hops.filter("ts is not null").select(F.col("dst").alias("node"), "ts", F.lit(0).alias("out"), F.lit(None).cast(hops.schema["seq"].dataType).alias("seq"))
-    out = hops.filter("ts is not null").select(F.col("src").alias("node"), "ts", F.lit(1).alias("out"), "seq")
-    from pyspark.sql import Window
+def _lagged(hops: DataFrame, span: str = "DAY") -> DataFrame:
+    """Add the time since the payer's latest arrival.
 
-    w = Window.partitionBy("node").orderBy("ts", "out").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("out") == 0, F.col("ts")), ignorenulls=True).over(w)
-    lags = into.unionByName(out).withColumn("last", last).filter("out = 1").select("seq", (F.timestamp_diff("MICROSECOND", "last", "ts") / 6e7).alias("lag_minutes"))
+    Each ``span`` of a node is a window of its own; the last arrival of earlier spans is
+    carried in from a table with one row per node and span.
+    """
+    legs = F.array(F.struct(F.col("dst").alias("node"), F.lit(0).alias("out")), F.struct(F.col("src").alias("node"), F.lit(1).alias("out")))
+    rows = hops.filter("ts is not null").select(F.explode(legs).alias("leg"), "ts", "seq").select("leg.node", "leg.out", "ts", "seq")
+    rows = rows.withColumn("span", F.date_trunc(span, F.col("ts").cast("timestamp")))
+    arrival = F.when(F.col("out") == 0, F.col("ts"))
+    over = Window.partitionBy("node").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("node", "span").agg(F.max(arrival).alias("latest")).select("node", "span", F.max("latest").over(over).alias("carried"))
+    inside = Window.partitionBy("node", "span").orderBy("ts", "out").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("latest", F.last(arrival, ignorenulls=True).over(inside)).filter("out = 1").join(carried, ["node", "span"])
+    lags = seen.select("seq", (F.timestamp_diff("MICROSECOND", F.coalesce("latest", "carried"), F.col("ts")) / 6e7).alias("lag_minutes"))
     return hops.join(lags, "seq", "left").select("depth", "src", "dst", "amount", "ts", "seq", "lag_minutes", "via")
 
 
