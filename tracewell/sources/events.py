@@ -72,7 +72,7 @@ def _hosts(urls: Column, role: str) -> Column:
 def serving(cdr: DataFrame) -> DataFrame:
     """``exhibit, imei, imsi, subscriber``: the ten-digit number most often beside a handset and card; the first seen wins ties."""
     sides = cdr.select("exhibit", "row", N.norm_imei(field("imei")).alias("imei"), N.norm_imsi(field("imsi")).alias("imsi"), F.posexplode(F.array(N.norm_msisdn(field("a_party")), N.norm_msisdn(field("b_party")))).alias("side", "n"))
-    count = sides.filter("(imei is not null or imsi is not null) and n rlike '^[0-9]{10}$'").groupBy("exhibit", "imei", "imsi", "n").agg(F.count("*").alias("c"), F.min(F.col("row") * 2 + F.col("side")).alias("r"))
+    count = sides.filter("(imei is not null or imsi is not null) and n rlike '^[0-9]{10}$'").groupBy("exhibit", "imei", "imsi", "n").agg(F.count("*").alias("c"), F.min(F.col("row").cast("bigint") * 2 + F.col("side")).alias("r"))
     return count.groupBy("exhibit", "imei", "imsi").agg(F.max_by("n", F.struct(F.col("c"), -F.col("r"), F.col("n"))).alias("subscriber"))
 
 
@@ -237,7 +237,7 @@ def events(records: DataFrame) -> DataFrame:
 
 def numbered(every: DataFrame) -> DataFrame:
     """Events with ``seq`` and ``event_id`` from their place in the exhibits."""
-    seq = F.regexp_extract("exhibit", "(\\d+)$", 1).cast("bigint") * 1_000_000_000_000 + F.col("row") * 100_000 + F.col("sub")
+    seq = F.regexp_extract("exhibit", "(\\d+)$", 1).cast("bigint") * 1_000_000_000_000 + F.col("row").cast("bigint") * 100_000 + F.col("sub")
     return every.withColumn("seq", seq).withColumn("event_id", F.concat_ws("-", "exhibit", "row", "sub")).withColumn("flags", F.array_distinct(F.coalesce("flags", F.array().cast("array<string>"))))
 
 
