@@ -9,3 +9,19 @@ def test_rows_far_down_an_exhibit_are_numbered(spark):
     rows = spark.createDataFrame([("EX-002", 21_475, 7), ("EX-002", 2_000_000_000, 0), ("EX-002", 1, 3)], "exhibit string, row int, sub int").withColumn("flags", F.lit(None).cast("array<string>"))
     got = {r.row: (r.seq, r.event_id) for r in E.numbered(rows).collect()}
     assert got == {21_475: (2_002_147_500_007, "EX-002-21475-7"), 2_000_000_000: (202_000_000_000_000, "EX-002-2000000000-0"), 1: (2_000_000_100_003, "EX-002-1-3")}
+
+
+def test_values_of_an_event_are_computed_once(spark):
+    """Each identifier is normalised in one place of the plan; links and filters read it."""
+    records = spark.createDataFrame([("EX-001", "a", "COMPLAINT", "complaint", 1, 0, {"name": "a b", "phone": "9876543210", "account": "123456789012", "upi": "a.b@okbank"})], "exhibit string, source string, kind string, part string, row int, sub int, fields map<string,string>").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    made = E.complaints(records).filter("size(entities) > 2").select("row", "entities", "links")
+    assert [len(r.links) for r in made.collect()] == [4]
+    plan = E.complaints(records).select("row", "entities", "links")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Za-z]{2}-?[A-Za-z]{5,8}") <= 4 and plan.count("[xX*#]") <= 4  # once or twice for victims and for suspects, dozens before
+
+
+def test_records_of_one_part_are_dealt_over_cores(spark, tmp_path):
+    from tracewell.plans import record_queries as Q
+
+    spark.range(40).selectExpr("id as c_custkey", "'n' || id as c_name", "double(id) as c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert Q.c08_complaint_events(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -140,9 +140,18 @@ def from_epoch(seconds: Column) -> Column:
     return F.expr("timestamp_ntz'1970-01-01 05:30:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
+def ts_text(value: Column) -> Column:
+    """The text that ``parse_ts`` reads, with single blanks."""
+    return F.regexp_replace(F.regexp_replace(_text(value), ", ", " "), "\\s+", " ")
+
+
 def parse_ts(value: Column) -> Column:
     """A timestamp in Indian wall-clock time from epoch seconds or milliseconds, ISO 8601, the layouts or RFC 2822; else null."""
-    s = F.regexp_replace(F.regexp_replace(_text(value), ", ", " "), "\\s+", " ")
+    return parse_ts_text(ts_text(value))
+
+
+def parse_ts_text(s: Column) -> Column:
+    """As ``parse_ts``, of a column made by ``ts_text``: each layout reads it, so it had best be computed once."""
     iso = s.rlike("^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}")
     zone = F.regexp_extract(s, "(Z|[+-]\\d{2}:?\\d{2})$", 1)
     plain = F.try_to_timestamp(F.regexp_replace(s.substr(1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions import normalize as N
 from tracewell.functions import textmine as M
 from tracewell.plans.case import Case
 from tracewell.plans.registry import query
@@ -20,11 +19,12 @@ from tracewell.storage import home, materialize
 
 
 def _records(rows: DataFrame, kind: str, row: Column | str, part: str | Column = "row", **fields: Column) -> DataFrame:
-    """Records of one exhibit, with times parsed as ``events`` does it."""
+    """Records of one exhibit, with times parsed as ``events`` does it; rows are dealt over all cores, as one part of a file may hold them all."""
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     values = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in fields.items())), lambda x: x["value"].isNotNull()))
     number = F.col(row) if isinstance(row, str) else row
     out = rows.select(F.lit("EX-001").alias("exhibit"), F.lit(f"{kind.lower()}.csv").alias("source"), F.lit(kind).alias("kind"), F.lit(False).alias("low_confidence"), (F.lit(part) if isinstance(part, str) else part).alias("part"), number.cast("int").alias("row"), F.lit(0).alias("sub"), values.alias("fields"))
-    return out.withColumn("ts", N.parse_ts(E.field("start")))
+    return E.timed(out)
 
 
 def _nodes() -> Column:
@@ -167,7 +167,7 @@ def c08_complaint_events(spark, sf):
     c = table(spark, sf, "customer")
     k = F.col("c_custkey").cast("string")
     r = _records(c, "COMPLAINT", "c_custkey", "complaint", name=F.col("c_name"), phone=F.concat(F.lit("+91 9"), F.lpad(k, 9, "0")), account=F.lpad(k, 12, "0"), upi=F.concat(F.lit("C"), k, F.lit("@okbank")), amount=F.concat(F.lit("₹ "), F.abs(F.col("c_acctbal").cast("decimal(18,2)")).cast("string")), ack=k)
-    return E.complaints(r).filter("size(entities) > 0").select("row", F.transform(F.filter("entities", lambda e: e["victim"]), lambda e: e["node"]).alias("victims"), "amount", _links().alias("links"))
+    return E.complaints(r).select("row", F.transform(F.filter("entities", lambda e: e["victim"]), lambda e: e["node"]).alias("victims"), "amount", _links().alias("links"))
 
 
 _DUMP = "select p_partkey as row, 'com.app' || p_partkey % 70 as package, ['READ_SMS', 'RECEIVE_SMS', 'SEND_SMS', 'BIND_ACCESSIBILITY_SERVICE', 'SYSTEM_ALERT_WINDOW', 'CALL_PHONE'][1:p_partkey % 7] as perms, case p_partkey % 3 when 0 then 'com.android.vending' when 1 then 'unknown' end as installer from part"
