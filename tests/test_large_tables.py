@@ -1,5 +1,8 @@
 """What only shows on larger tables: numbers beyond 32 bits, rows that gather in one task, work done twice."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.sources import events as E
@@ -25,3 +28,64 @@ def test_records_of_one_part_are_dealt_over_cores(spark, tmp_path):
 
     spark.range(40).selectExpr("id as c_custkey", "'n' || id as c_name", "double(id) as c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     assert Q.c08_complaint_events(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def _transfers(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"A{rnd.randrange(6)}", f"B{rnd.randrange(6)}", 10.0 * i, dt.datetime(2026, 1, 1) + dt.timedelta(minutes=rnd.randrange(9000)), i) for i in range(300)]
+    rows = [(b, a, *r) if i % 2 else (a, b, *r) for i, (a, b, *r) in enumerate(rows)]
+    return spark.createDataFrame(rows, "src string, dst string, amount double, ts timestamp_ntz, seq long")
+
+
+def test_nodes_cut_into_spans_give_what_whole_ones_give(spark):
+    from tracewell.operators import transfers as T
+
+    t = _transfers(spark)
+    for f in (lambda many: T.shortest_lag(t, "HOUR", many), lambda many: T.largest_burst(t, "src", many=many)):
+        cut, whole = sorted(f(0).collect()), sorted(f(10**6).collect())
+        assert cut == whole and len(whole) == 12
+
+
+def test_reasons_read_transfers_once(spark):
+    from tracewell.operators import scoring as S
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = _transfers(spark).mapInArrow(count, "src string, dst string, amount double, ts timestamp_ntz, seq long")
+    assert S.financial_reasons(t).count() > 0 and seen.value == 300
+
+
+def test_masked_accounts_share_the_members_of_their_digits(spark):
+    """Members are gathered by last digits and not by pair, so no shuffle or sort follows the join."""
+    from tracewell.operators import rules as R
+
+    nodes = spark.createDataFrame([(f"ACCOUNT|MASKED-0{i}1234",) for i in range(5)] + [(f"ACCOUNT|9{i:07d}1234",) for i in range(7)] * 2, "node string")
+    found = R.masked_match(nodes)
+    assert [len(r.members) for r in found.collect()] == [7] * 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_layers_need_no_lags_and_taken_transfers_no_shuffle(spark):
+    from tracewell.operators import trace as G
+
+    hops = G.trace(_transfers(spark), spark.createDataFrame([("A1",)], "node string"), 4, lags=False)
+    assert hops.columns == ["depth", "src", "dst", "amount", "ts", "seq", "via"]
+    assert hops.select("seq").distinct().count() == hops.count() > 100
+    assert "Join" not in hops._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_statements_are_shuffled_before_they_double(spark):
+    from tracewell.plans import registry
+
+    plan = registry.a04_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(src") == 1 and "Union" not in plan
