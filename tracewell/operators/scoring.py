@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.textmine import saturated
 from tracewell.operators import transfers as T
 from tracewell.operators.rules import first_events
+from tracewell.storage import settled
 
 # Points of each reason.
 WEIGHTS = {
@@ -26,6 +27,7 @@ def _reasons(df: DataFrame, code: str) -> DataFrame:
 def financial_reasons(transfers: DataFrame, layers: DataFrame | None = None, cash_outs: DataFrame | None = None) -> DataFrame:
     """``node, code, points`` of the reasons that transfers give (once where corroborated)."""
     once = transfers.filter("not corroborated") if "corroborated" in transfers.columns else transfers
+    once = settled(once if hasattr(once, "_tracewell_rows") else once.select("src", "dst", "amount", "ts"))
     lag = T.shortest_lag(once)
     out = [
         _reasons(T.pass_through(T.node_flows(once)), "PASS_THROUGH"),

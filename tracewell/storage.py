@@ -48,6 +48,11 @@ def materialize(df: DataFrame, *folders: str) -> DataFrame:
     return _read(df, path, _write(df, path, folders))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table that several passes may read: itself if ``materialize`` returned it."""
+    return df if hasattr(df, "_tracewell_rows") else materialize(df)
+
+
 def materialize_all(frames: Iterable[DataFrame]) -> DataFrame:
     """Write frames with one schema, one after the other, and return one frame that reads them all."""
     path, rows, df = None, 0, None
