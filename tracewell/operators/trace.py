@@ -2,58 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.storage import discard, materialize
+from tracewell.operators import transfers as T
+from tracewell.storage import discard, materialize, rows_of, settled
 
 
-def trace(transfers: DataFrame, origins: DataFrame, max_depth: int = 6) -> DataFrame:
+def trace(transfers: DataFrame, origins: DataFrame, max_depth: int = 6, lags: bool = True) -> DataFrame:
     """``depth, src, dst, amount, ts, seq, lag_minutes, via`` of every transfer that money from ``origins`` can have taken.
 
     ``transfers`` has src, dst, amount, ts and seq (unique); ``origins`` has node.  A transfer
     follows when its payer was reached no later than its time; a transfer without a time
     always follows, and passes on the time at which its payer was reached.  Breadth-first, so a hop's depth is the least
-    possible.  Each round joins the transfers not yet taken with the earliest arrival of
-    each reached node; rounds are cut by tables in the shared folder.  ``via`` is the seq of
+    possible.  Each round joins the transfers with the earliest arrival of
+    each node reached in the round before, and with its earliest arrival in rounds before that, which tells the
+    transfers already taken; rounds are cut by tables in the shared folder.  ``via`` is the seq of
     the hop that reached the payer earliest, ``lag_minutes`` the time since its latest
-    arrival that is not later than the hop.  No origins give no hops.
+    arrival that is not later than the hop (left out unless ``lags``).  No origins give no hops.
     """
-    t = materialize(transfers.filter(F.col("src") != F.col("dst")).select("src", "dst", "amount", "ts", "seq"))
-    reached = origins.select("node", F.lit(None).cast("timestamp").alias("arrived"), F.lit(None).cast(t.schema["seq"].dataType).alias("via")).distinct()
-    found = None
+    t = settled(transfers).filter(F.col("src") != F.col("dst")).select("src", "dst", "amount", "ts", "seq")
+    start = origins.select("node").distinct().select("node", F.lit(None).cast("timestamp").alias("arrived"), F.lit(None).cast(t.schema["seq"].dataType).alias("via"))
+    reached = materialize(start.withColumns({"before": F.lit(None).cast("timestamp"), "seen": F.lit(False), "always": F.lit(False)}))
+    found = past = None
     for depth in range(1, max_depth + 1):
-        step = t.join(reached.withColumnRenamed("node", "src"), "src").filter("arrived is null or ts is null or ts >= arrived")
-        if found is not None:
-            step = step.join(found.select("seq"), "seq", "left_anti")
+        step = t.join(reached.withColumnRenamed("node", "src"), "src").filter("arrived is null or ts is null or ts >= arrived").filter("not (seen and (always or ts is null or coalesce(ts >= before, false)))")
         hop = materialize(step.select(F.lit(depth).alias("depth"), "src", "dst", "amount", "ts", "seq", F.coalesce(F.col("ts").cast("timestamp"), "arrived").alias("_at"), "via"))
-        if not hop.limit(1).count():
+        if not rows_of(hop):
             discard(hop)
             break
         found = hop if found is None else found.unionByName(hop)
+        if depth == max_depth:
+            break
+        now = reached.select("node", F.col("arrived").alias("before"), F.lit(True).alias("seen"), F.col("arrived").isNull().alias("always"))
+        past = now if past is None else past.unionByName(now)
+        past = materialize(past.groupBy("node").agg(F.min("before").alias("before"), F.bool_or("seen").alias("seen"), F.bool_or("always").alias("always")))
         early = F.min_by("seq", F.struct(F.col("_at").isNotNull(), F.col("_at"), F.col("seq")))
-        reached = materialize(hop.groupBy(F.col("dst").alias("node")).agg(F.when(F.count_if(F.col("_at").isNull()) > 0, F.lit(None)).otherwise(F.min("_at")).cast("timestamp").alias("arrived"), early.alias("via")))
+        new = hop.groupBy(F.col("dst").alias("node")).agg(F.when(F.count_if(F.col("_at").isNull()) > 0, F.lit(None)).otherwise(F.min("_at")).cast("timestamp").alias("arrived"), early.alias("via"))
+        reached = materialize(new.join(past, "node", "left").fillna(False, ["seen", "always"]))
     if found is None:
-        return t.limit(0).select(F.lit(0).alias("depth"), "src", "dst", "amount", "ts", "seq", F.lit(0.0).alias("lag_minutes"), F.col("seq").alias("via"))
-    return _lagged(found)
-
-
-def _lagged(hops: DataFrame, span: str = "DAY") -> DataFrame:
-    """Add the time since the payer's latest arrival.
-
-    Each ``span`` of a node is a window of its own; the last arrival of earlier spans is
-    carried in from a table with one row per node and span.
-    """
-    legs = F.array(F.struct(F.col("dst").alias("node"), F.lit(0).alias("out")), F.struct(F.col("src").alias("node"), F.lit(1).alias("out")))
-    rows = hops.filter("ts is not null").select(F.explode(legs).alias("leg"), "ts", "seq").select("leg.node", "leg.out", "ts", "seq")
-    rows = rows.withColumn("span", F.date_trunc(span, F.col("ts").cast("timestamp")))
-    arrival = F.when(F.col("out") == 0, F.col("ts"))
-    over = Window.partitionBy("node").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy("node", "span").agg(F.max(arrival).alias("latest")).select("node", "span", F.max("latest").over(over).alias("carried"))
-    inside = Window.partitionBy("node", "span").orderBy("ts", "out").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("latest", F.last(arrival, ignorenulls=True).over(inside)).filter("out = 1").join(carried, ["node", "span"])
-    lags = seen.select("seq", (F.timestamp_diff("MICROSECOND", F.coalesce("latest", "carried"), F.col("ts")) / 6e7).alias("lag_minutes"))
-    return hops.join(lags, "seq", "left").select("depth", "src", "dst", "amount", "ts", "seq", "lag_minutes", "via")
+        none = t.limit(0).select(F.lit(0).alias("depth"), "src", "dst", "amount", "ts", "seq", F.lit(0.0).alias("lag_minutes"), F.col("seq").alias("via"))
+        return none if lags else none.drop("lag_minutes")
+    return _lagged(found) if lags else found.drop("_at")
+
+
+def _lagged(hops: DataFrame, span: str = "DAY", many: int = T.MANY_ROWS) -> DataFrame:
+    """Add the time since the payer's latest arrival; hops are carried through the windows of their payers, arrivals bring only their time."""
+    own = ("depth", "dst", "amount", "seq", "via")
+    kept = [F.col(c) for c in own]
+    nothing = [F.lit(None).cast(hops.schema[c].dataType).alias(c) for c in own]
+    timed = hops.filter("ts is not null")
+    legs = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), *kept), F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), *nothing)))
+    seen = T.with_latest(timed.select(legs.alias("leg"), "ts").select("leg.*", "ts"), 2 * timed.count(), span, many)
+    lag = (F.timestamp_diff("MICROSECOND", F.col("latest"), F.col("ts")) / 6e7).alias("lag_minutes")
+    rest = hops.filter("ts is null").select("depth", "src", "dst", "amount", "ts", "seq", F.lit(None).cast("double").alias("lag_minutes"), "via")
+    return seen.select("depth", F.col("node").alias("src"), "dst", "amount", "ts", "seq", lag, "via").unionByName(rest)
 
 
 def paths(hops: DataFrame, top: int = 25) -> DataFrame:

@@ -181,7 +181,7 @@ def a03_node_flows(spark, sf):
 
 @query(f"""with {TWO} select src, dst, count(*) as count, count(*) filter (corroborated) as corroborated, cast(coalesce(sum(cast(amount as decimal(18, 2))) filter (not corroborated), 0) as double) as amount, min(ts) as first, max(ts) as last, list_slice(list_sort(list(seq)), 1, 200) as events from marked group by src, dst""")
 def a04_edges(spark, sf):
-    return T.edges(_marked(spark, sf))
+    return T.edges(T.mark_duplicates(two_statements(spark, sf, "src", "dst")))
 
 
 @query(f"with {FUNDS}, {_FLOWS.format(t='funds')} select * from flows where in_amount > 0 and out_amount > 0 and out_amount >= 0.75 * in_amount")
@@ -395,7 +395,7 @@ k as (select seq, o, ts, max(case when o = 0 then ts end) over (partition by nod
 select depth, src, dst, amount, h.ts, h.seq, (epoch_us(h.ts) - epoch_us(latest)) / 6e7 as lag_minutes, via from hops h join k on k.o = 1 and k.seq = h.seq""")
 def g03_trace(spark, sf):
     """Hops of the money of the node with the largest net loss, to the full depth."""
-    f = funds(spark, sf)
+    f = materialize(funds(spark, sf))
     return G.trace(f, G.default_origins(T.node_flows(f)))
 
 
@@ -406,7 +406,7 @@ every as (select node, 0 as layer from o union all select dst, 1 from h1 union a
 select node, cast(min(layer) as int) as layer from every group by node""")
 def g06_layers(spark, sf):
     o = _origins(spark, sf)
-    return G.layers(G.trace(funds(spark, sf), o, 2), o)
+    return G.layers(G.trace(funds(spark, sf), o, 2, lags=False), o)
 
 
 @query(f"""with {_TRACE}, p1 as (select seq, cast(amount as decimal(38, 2)) as total, [seq] as seqs from h1){''.join(f', p{d} as (select h.seq, cast(total + cast(amount as decimal(18, 2)) as decimal(38, 2)) as total, list_append(seqs, h.seq) as seqs from h{d} h join p{d - 1} p on p.seq = h.via)' for d in range(2, 7))},
@@ -414,16 +414,16 @@ every as ({' union all '.join(f'select * from p{d}' for d in range(1, 7))})
 select cast(total as double) as total, cast(len(seqs) as int) as length, seqs from every where seq not in (select via from hops where via is not null) order by total desc, length desc, seqs limit 25""")
 def g07_paths(spark, sf):
     """The 25 heaviest routes of the trail."""
-    f = funds(spark, sf)
-    return G.paths(materialize(G.trace(f, G.default_origins(T.node_flows(f)))))
+    f = materialize(funds(spark, sf))
+    return G.paths(materialize(G.trace(f, G.default_origins(T.node_flows(f)), lags=False)))
 
 
 @query(f"with {_TRACE} select node, cast(min(layer) as int) as layer from (select node, 0 as layer from o union all select dst, depth from hops) group by node")
 def g06a_layers_full(spark, sf):
     """As g06_layers, whose SQL ends at two hops, from the node with the largest net loss and to the full depth."""
-    f = funds(spark, sf)
+    f = materialize(funds(spark, sf))
     o = materialize(G.default_origins(T.node_flows(f)))
-    return G.layers(G.trace(f, o), o)
+    return G.layers(G.trace(f, o, lags=False), o)
 
 
 @query(f"with {FUNDS}, paid as (select * from funds where src like 'ACCOUNT|C%'), {_FLOWS.format(t='paid')} select node, in_amount, out_amount from flows where in_amount > 0 and out_amount = 0")
@@ -462,7 +462,7 @@ def s02_scores(spark, sf):
 g as (select cluster, max(struct_pack(s := score, r := raw, n := node)) as best, count(*) as members, cast(sum(cast(in_amount as decimal(18, 2))) as double) as received, cast(sum(cast(out_amount as decimal(18, 2))) as double) as sent from n group by cluster)
 select cluster, best.n as "primary", best.s as score, members, received, sent from g""")
 def s03_suspects(spark, sf):
-    f = funds(spark, sf)
+    f = materialize(funds(spark, sf).select("src", "dst", "amount", "ts"))
     none = _no_victims(spark)
     out = S.suspects(S.scores(S.financial_reasons(f)), _clusters(spark, sf), T.node_flows(f), none.withColumn("layer", F.lit(0)), none)
     return out.select("cluster", "primary", "score", "members", "received", "sent")

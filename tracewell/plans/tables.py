@@ -28,10 +28,12 @@ funds as (
   from lineitem join orders on l_orderkey = o_orderkey)"""
 
 
-def two_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each transfer as both banks record it, the second half a minute later."""
+def two_statements(spark: SparkSession, sf_dir: str, *dealt_by: str) -> DataFrame:
+    """Each transfer as both banks record it, the second half a minute later; dealt by columns that all later steps group by, transfers are shuffled once, before they double."""
     f = funds(spark, sf_dir)
-    return f.unionByName(f.withColumn("ts", F.col("ts") + F.expr("interval 30 seconds")).withColumn("seq", -F.col("seq")))
+    f = f.repartition(*dealt_by) if dealt_by else f
+    both = F.array(F.struct(F.col("ts"), F.col("seq")), F.struct((F.col("ts") + F.expr("interval 30 seconds")).alias("ts"), (-F.col("seq")).alias("seq")))
+    return f.select("src", "dst", "amount", F.explode(both).alias("of"), "status").select("src", "dst", "amount", "of.ts", "of.seq", "status")
 
 
 TWO = FUNDS + """,
