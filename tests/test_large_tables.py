@@ -89,3 +89,28 @@ def test_statements_are_shuffled_before_they_double(spark):
 
     plan = registry.a04_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(src") == 1 and "Union" not in plan
+
+
+def test_a_delimited_file_is_not_held_as_rows():
+    import tracemalloc
+
+    from tracewell.sources import exhibits as X
+
+    raw = ("Calling Party No.;Called-Number;Duration (sec);Call Type\n" + "".join(f"9{i:09d};8000000001;{i};OUT\n" for i in range(30_000))).encode()
+    tracemalloc.start()
+    kind, _, rows = X.open_file("a.csv", raw)
+    first, n = None, 0
+    for n, r in enumerate(rows, 1):
+        first = first or r
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (kind, n, first) == ("CDR", 30_000, ("row", 2, 0, {"a_party": "9000000000", "b_party": "8000000001", "duration": "0", "call_type": "OUT"}))
+    assert peak < 2 * len(raw)
+
+
+def test_a_file_that_breaks_half_way_gives_one_error(spark):
+    from tracewell.sources import exhibits as X
+
+    raw = b"caller,called,type,start_time\n" + b"9876543210,9876543211,OUT,2026-09-08 09:00:00\n" * 20_000
+    files = spark.createDataFrame([("EX-001", "a.csv", raw + b'"' + b"x" * 200_000), ("EX-002", "b.csv", raw)], "exhibit string, source string, content binary")
+    assert {tuple(r) for r in X.records(files).groupBy("exhibit", "kind").count().collect()} == {("EX-001", "ERROR", 1), ("EX-002", "CDR", 20_000)}
